@@ -1,0 +1,8 @@
+import pytest
+
+from corpusmill.session import local_session
+
+
+@pytest.fixture(scope="session")
+def spark():
+    return local_session(8, memory="6g")
