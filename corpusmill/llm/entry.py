@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import hilbert, simhash, tokenfile
 
-QUERIES = {"op1_simhash": simhash.op1_simhash}
+QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
+    "op5_tokenfile": tokenfile.op5_tokenfile,
+    "op9_hilbert": hilbert.op9_hilbert,
+}
 ORACLES: dict[str, str] = {}
