@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import hilbert, simhash, tokenfile
+from . import hilbert, packing, simhash, tokenfile, warczip
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op3_packing": packing.op3_packing,
     "op5_tokenfile": tokenfile.op5_tokenfile,
+    "op7_warc": warczip.op7_warc,
     "op9_hilbert": hilbert.op9_hilbert,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_warc": warczip.OP7_SQL}
