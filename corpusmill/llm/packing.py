@@ -21,16 +21,19 @@ from .tokens import END, encoder
 CAPACITY = 1024
 
 
-def _combination(have: np.ndarray, gap: int, top: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths, none above top, that sum to gap; larger ones first."""
-    if gap <= top and have[gap] > 0:
+def _combination(have: np.ndarray, gap: int, top: int, arities: tuple[int, ...]) -> tuple[int, ...] | None:
+    """One, two or three (as arities say) available lengths, none above top, that sum to gap; larger ones first."""
+    if 1 in arities and gap <= top and have[gap] > 0:
         return (gap,)
-    a = np.arange(min(top, gap - 1), (gap - 1) // 2, -1)  # pair sums: a >= gap - a
-    if len(a):
-        b = gap - a
-        fits = np.nonzero((have[a] > 0) & (have[b] > (a == b)))[0]
-        if len(fits):
-            return int(a[fits[0]]), int(b[fits[0]])
+    if 2 in arities:
+        a = np.arange(min(top, gap - 1), (gap - 1) // 2, -1)  # pair sums: a >= gap - a
+        if len(a):
+            b = gap - a
+            fits = np.nonzero((have[a] > 0) & (have[b] > (a == b)))[0]
+            if len(fits):
+                return int(a[fits[0]]), int(b[fits[0]])
+    if 3 not in arities:
+        return None
     for a in range(min(top, gap - 2), (gap - 1) // 3, -1):  # triple sums: a >= b >= c
         if have[a] <= 0:
             continue
@@ -44,28 +47,37 @@ def _combination(have: np.ndarray, gap: int, top: int) -> tuple[int, ...] | None
     return None
 
 
+#: Orders of taking combinations. Each entry is a sweep over the lengths, longest first, with the arities it may use:
+#: early triples can use up the short pieces that later gaps need, so the plan with the fewest sequences is kept.
+SWEEPS = (((1, 2, 3),), ((1,), (2,), (3,)), ((1,), (2,)), ((1,),))
+
+
 def plan_patterns(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
     """counts[length] pieces of each length 1..capacity -> (uses, lengths) patterns that take every piece once."""
+    plans = (_plan(counts, capacity, sweeps) for sweeps in SWEEPS)
+    return min(plans, key=lambda plan: sum(uses for uses, _ in plan))
+
+
+def _plan(counts: np.ndarray, capacity: int, sweeps: tuple[tuple[int, ...], ...]) -> list[tuple[int, list[int]]]:
     have = np.array(counts, dtype=np.int64)
     patterns: list[tuple[int, list[int]]] = []
     if have[capacity]:
         patterns.append((int(have[capacity]), [capacity]))
         have[capacity] = 0
-    residual = np.zeros_like(have)
-    for length in range(capacity - 1, 0, -1):
-        while have[length] > 0:
-            have[length] -= 1  # one is placed; the rest of its length may complete it
-            found = _combination(have, capacity - length, length)
-            have[length] += 1
-            if found is None:
-                residual[length], have[length] = have[length], 0
-                break
-            pattern = [length, *found]
-            uses = min(int(have[x]) // pattern.count(x) for x in set(pattern))
-            for x in pattern:
-                have[x] -= uses
-            patterns.append((uses, pattern))
-    return patterns + _best_fit(residual, capacity)
+    for arities in sweeps:
+        for length in range(capacity - 1, 0, -1):
+            while have[length] > 0:
+                have[length] -= 1  # one is placed; the rest of its length may complete it
+                found = _combination(have, capacity - length, length, arities)
+                have[length] += 1
+                if found is None:
+                    break
+                pattern = [length, *found]
+                uses = min(int(have[x]) // pattern.count(x) for x in set(pattern))
+                for x in pattern:
+                    have[x] -= uses
+                patterns.append((uses, pattern))
+    return patterns + _best_fit(have, capacity)
 
 
 def _best_fit(have: np.ndarray, capacity: int) -> list[tuple[int, list[int]]]:
