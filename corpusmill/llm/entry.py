@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hilbert, packing, simhash, tokenfile, warczip
+from . import hilbert, packing, simhash, substring, tokenfile, warczip
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,5 +10,6 @@ QUERIES = {
     "op5_tokenfile": tokenfile.op5_tokenfile,
     "op7_warc": warczip.op7_warc,
     "op9_hilbert": hilbert.op9_hilbert,
+    "op10_substring": substring.op10_substring,
 }
-ORACLES: dict[str, str] = {"op7_warc": warczip.OP7_SQL}
+ORACLES: dict[str, str] = {"op7_warc": warczip.OP7_SQL, "op10_substring": substring.OP10_SQL}
