@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import hilbert, packing, simhash, substring, tokenfile, warczip
+from . import hilbert, orderhash, packing, simhash, substring, tokenfile, warczip
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op3_packing": packing.op3_packing,
+    "op4_orderhash": orderhash.op4_orderhash,
     "op5_tokenfile": tokenfile.op5_tokenfile,
     "op7_warc": warczip.op7_warc,
     "op9_hilbert": hilbert.op9_hilbert,
