@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hilbert, orderhash, packing, simhash, substring, tokenfile, warczip
+from . import hilbert, licenses, orderhash, packing, simhash, substring, tokenfile, warczip
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_orderhash": orderhash.op4_orderhash,
     "op5_tokenfile": tokenfile.op5_tokenfile,
     "op7_warc": warczip.op7_warc,
+    "op8_licenses": licenses.op8_licenses,
     "op9_hilbert": hilbert.op9_hilbert,
     "op10_substring": substring.op10_substring,
 }
