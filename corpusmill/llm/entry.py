@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import hilbert, licenses, orderhash, packing, simhash, substring, tokenfile, warczip
+from . import hilbert, licenses, orderhash, packing, simhash, substring, tokenfile, toxicity, warczip
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_packing": packing.op3_packing,
     "op4_orderhash": orderhash.op4_orderhash,
     "op5_tokenfile": tokenfile.op5_tokenfile,
