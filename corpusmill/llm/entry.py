@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hilbert, licenses, orderhash, packing, simhash, substring, tokenfile, toxicity, warczip
+from . import decontaminate, hilbert, licenses, orderhash, packing, simhash, substring, tokenfile, toxicity, warczip
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_orderhash": orderhash.op4_orderhash,
     "op5_tokenfile": tokenfile.op5_tokenfile,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_warc": warczip.op7_warc,
     "op8_licenses": licenses.op8_licenses,
     "op9_hilbert": hilbert.op9_hilbert,
