@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def ledger_check(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     """rows with `verdict`: by uid (replay if the content is the same, else uid_conflict), then statement, then warn-only rows, else new."""
     hard, soft = ledger.where("not warn_only"), ledger.where("warn_only")
-    by_uid = hard.groupBy("uid").agg(F.max_by("content_hash", "journal_line").alias("_h"), F.lit(True).alias("_u"))
+    by_uid = hard.groupBy("uid").agg(F.max_by("content_hash", F.coalesce("journal_line", F.lit(-1))).alias("_h"), F.lit(True).alias("_u"))
     by_stmt = hard.select("stmt_key").distinct().withColumn("_s", F.lit(True))
     warn_uid, warn_stmt = soft.select("uid").distinct().withColumn("_wu", F.lit(True)), soft.select("stmt_key").distinct().withColumn("_ws", F.lit(True))
     joined = rows.join(by_uid, "uid", "left").join(by_stmt, "stmt_key", "left").join(warn_uid, "uid", "left").join(warn_stmt, "stmt_key", "left")

@@ -694,9 +694,9 @@ def _(spark, sf):
     return training.rows_per_uid(S.rollouts(spark, sf))
 
 
-@query("o5_draw", with_("ro") + "SELECT uid FROM (SELECT DISTINCT uid FROM ro) WHERE uid NOT IN (SELECT CAST(item_id AS VARCHAR) FROM benchmark) ORDER BY sha256('anchor:' || uid), uid LIMIT 25")
+@query("o5_draw", with_("ro") + "SELECT CAST(c_custkey AS VARCHAR) AS uid FROM customer WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT uid FROM ro) ORDER BY sha256('anchor:' || CAST(c_custkey AS VARCHAR)), 1 LIMIT 25")
 def _(spark, sf):
-    return training.draw(S.rollouts(spark, sf).select("uid").distinct(), table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("uid")), 25, "anchor")
+    return training.draw(table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("uid")), S.rollouts(spark, sf), 25, "anchor")
 
 
 @query("j15_hinted_tier", with_("ro", "ta") + "SELECT c_custkey AS custkey, CASE WHEN c_custkey IN (SELECT item_id FROM benchmark) THEN 'band' ELSE label END AS tier, CASE WHEN c_custkey IN (SELECT item_id FROM benchmark) THEN 'band' WHEN uid IS NULL THEN 'not_in_pool' ELSE label END AS why FROM customer LEFT JOIN ta ON uid = CAST(c_custkey AS VARCHAR)")
@@ -816,8 +816,8 @@ def _(spark, sf):
 @query(
     "w16_cut_slice",
     f"""WITH {_JOURNAL}, f AS (SELECT k, min(line_no) AS first FROM v WHERE k >= 25 GROUP BY k),
-e AS (SELECT max(first) AS through FROM (SELECT first FROM f ORDER BY first LIMIT 50))
-SELECT line_no, CASE WHEN v.k >= 25 AND line_no > first THEN 'replay' ELSE verdict END AS verdict, coalesce(v.k >= 25 AND line_no = first, false) AS accepted FROM v LEFT JOIN f ON v.k = f.k, e WHERE line_no <= through""",
+e AS (SELECT max(first) AS through, count(*) AS n FROM (SELECT first FROM f ORDER BY first LIMIT 50))
+SELECT line_no, CASE WHEN v.k >= 25 AND line_no > first THEN 'replay' ELSE verdict END AS verdict, n >= 50 AND coalesce(v.k >= 25 AND line_no = first, false) AS accepted FROM v LEFT JOIN f ON v.k = f.k, e WHERE n < 50 OR line_no <= through""",
 )
 def _(spark, sf):
     j, led = _journal(spark, sf)

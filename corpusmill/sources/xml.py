@@ -54,9 +54,13 @@ def candidates(papers: DataFrame) -> DataFrame:
     return papers.withColumn("statement", statement).where("statement is not null").withColumn("provenance", F.lit("extracted"))
 
 
+def _begins(prefix: str) -> Column:
+    return F.exists("categories", lambda x: F.startswith(x, F.lit(prefix)))
+
+
 def in_window(papers: DataFrame, categories: list[str], since: str | None = None) -> DataFrame:
     """Papers of a category, or of an archive written as name.*, submitted on or after a day."""
     has = F.lit(False)
     for c in categories:
-        has = has | (F.exists("categories", lambda x, p=c[:-1]: F.startswith(x, F.lit(p))) if c.endswith(".*") else F.array_contains("categories", c))
+        has = has | (_begins(c[:-1]) if c.endswith(".*") else F.array_contains("categories", c))
     return papers.where(has & (F.lit(True) if since is None else F.col("published") >= since))
