@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, bounded_batches, materialize
 
 #: Labelled rows that are fitted on at most; features of a category at most; rows of a feature at least; its chi-square at least.
-SAMPLE, FEATURES, ROWS, CHI2 = 20_000, 600, 5, 25.0
+SAMPLE, FEATURES, ROWS, CHI2 = 12_000, 400, 5, 25.0
 #: Letters of a word beginning, a feature beside the word itself.
 BEGIN = 4
 FOLDS, STEPS, DECAY = 5, 120, 3e-4
@@ -57,20 +57,20 @@ def _log_odds(p: np.ndarray) -> np.ndarray:
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by accelerated gradient steps; the last column is the bias. One class only: the smoothed prior."""
-    out = np.zeros(x.shape[1])
+    """Logistic regression by accelerated gradient steps in single precision; the last column is the bias. One class only: the smoothed prior."""
+    out = np.zeros(x.shape[1], np.float32)
     rate = (y.sum() + 1) / (len(y) + 2)
     out[-1] = np.log(rate / (1 - rate))
     if not 0 < y.sum() < len(y):
         return out
-    step = 4 * len(y) / (float((x**2).sum(axis=1).mean()) * len(y) + 1e-9)
+    step = np.float32(4 / (float(np.einsum("ij,ij->", x, x)) / len(y) + 1e-9))
     v, t = out.copy(), 1.0
-    keep = np.full(x.shape[1], DECAY)
+    keep = np.full(x.shape[1], DECAY, np.float32)
     keep[-1] = 0
     for _ in range(STEPS):
-        grad = x.T @ (_sigmoid(x @ v) - y) / len(y) + keep * v
-        new, t2 = v - step * grad, (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, out, t = new + (t - 1) / t2 * (new - out), new, t2
+        gap = (_sigmoid(x @ v) - y).astype(np.float32) / np.float32(len(y))
+        new, t2 = v - step * (gap @ x + keep * v), (1 + (1 + 4 * t * t) ** 0.5) / 2
+        v, out, t = new + np.float32((t - 1) / t2) * (new - out), new, t2
     return out
 
 
@@ -88,24 +88,26 @@ def _group(words: set[str]) -> str:
     return " ".join(sorted(words, key=lambda w: (-len(w), w))[:3])
 
 
-def train(rows: Sequence[tuple[list[str], tuple[int, ...]]], vocabularies: dict[str, list[str]]) -> list[Link]:
-    """rows: (features, 0/1 per category); vocabularies: each category's features, in chain order."""
-    y = np.array([c for _, c in rows], dtype=np.float32).reshape(len(rows), len(vocabularies))
+def train(rows: Sequence[np.ndarray], labels: Sequence[tuple[int, ...]], vocabularies: dict[str, list[str]]) -> list[Link]:
+    """rows: places in the sorted union of the vocabularies; labels: 0/1 per category; vocabularies: each category's features, in chain order."""
+    union = sorted(set().union(*vocabularies.values()))
+    y = np.array(labels, dtype=np.float32).reshape(len(rows), len(vocabularies))
     fold = np.random.default_rng(SEED).permutation(len(rows)) % FOLDS
-    ones, before, chain = np.ones((len(rows), 1), np.float32), np.zeros((len(rows), 0), np.float32), []
+    before, chain = np.zeros((len(rows), 0), np.float32), []
     for k, (name, vocabulary) in enumerate(vocabularies.items()):
-        place = {w: i for i, w in enumerate(vocabulary)}
-        x = np.zeros((len(rows), len(vocabulary)), np.float32)
-        for row, (words, _) in enumerate(rows):
-            for w in words:
-                if w in place:
-                    x[row, place[w]] = 1
-        full, oof = np.hstack([x, before, ones]), np.zeros(len(rows))
+        column = np.full(len(union) + 1, -1)
+        column[np.searchsorted(union, vocabulary)] = np.arange(len(vocabulary))
+        full = np.zeros((len(rows), len(vocabulary) + k + 1), np.float32)
+        for row, places in enumerate(rows):
+            at = column[places]
+            full[row, at[at >= 0]] = 1
+        full[:, len(vocabulary) : -1], full[:, -1] = before, 1
+        oof = np.zeros(len(rows))
         for f in range(FOLDS):
             if (fold == f).any() and (fold != f).any():
                 oof[fold == f] = _sigmoid(full[fold == f] @ _fit(full[fold != f], y[fold != f, k]))
         w = _fit(full, y[:, k]) if len(rows) else np.zeros(len(vocabulary) + k + 1)
-        chain.append(Link(name, {v: float(w[i]) for v, i in place.items()}, [float(v) for v in w[len(vocabulary) : -1]], float(w[-1]), _threshold(oof, y[:, k])))
+        chain.append(Link(name, {v: float(w[i]) for i, v in enumerate(vocabulary)}, [float(v) for v in w[len(vocabulary) : -1]], float(w[-1]), _threshold(oof, y[:, k])))
         before = np.hstack([before, _log_odds(oof)[:, None].astype(np.float32)])
     return chain
 
@@ -153,10 +155,17 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
         chi2 = n * gap * gap / F.greatest(F.lit(p * (n - p)) * F.col("n") * (n - F.col("n")), F.lit(1.0))
         best = counts.select("w", chi2.alias("s")).where(F.col("s") >= CHI2).orderBy(F.desc("s"), "w").limit(FEATURES)
         vocabularies[name] = [r.w for r in best.collect()]
-    wanted = sorted(set().union(*vocabularies.values()))
-    kept = rows.select(*names, F.array_intersect("features", F.split(F.lit("\n".join(wanted)), "\n")).alias("features"))
-    found = sorted((r.features, tuple(r)[: len(names)]) for r in kept.collect())
-    return train(found, vocabularies)
+    place = {w: i for i, w in enumerate(sorted(set().union(*vocabularies.values())))}
+    packed = pa.schema([("places", pa.binary()), *[(c, pa.int32()) for c in names]])
+
+    def pack(batches):
+        for batch in batches:
+            found = [np.array([place[w] for w in f if w in place], dtype="<i4").tobytes() for f in batch.column(len(names)).to_pylist()]
+            yield arrow_rows(packed, [found, *batch.columns[: len(names)]])
+
+    kept = rows.select(*names, "features").mapInArrow(pack, "places binary, " + ", ".join(f"{c} int" for c in names))
+    found = sorted((bytes(r.places), tuple(r)[1:]) for r in kept.collect())
+    return train([np.frombuffer(p, dtype="<i4") for p, _ in found], [c for _, c in found], vocabularies)
 
 
 def score(docs: DataFrame, chain: list[Link], text_col: str = "text") -> DataFrame:
