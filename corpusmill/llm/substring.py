@@ -92,10 +92,10 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate([views[i : i + 262_144].argmin(axis=1) for i in range(0, len(views), 262_144)])
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with _k (MD5 of the text) and _d (the id, never null): what a row's spans are joined by."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str, key: str = "_k", id_: str = "_d") -> DataFrame:
+    """docs with a key (MD5 of the text) and an id that is never null: what a row's spans are joined by."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumn("_k", F.unhex(F.md5(text.cast("binary")))).withColumn("_d", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))))
+    return docs.withColumn(key, F.unhex(F.md5(text.cast("binary")))).withColumn(id_, F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))))
 
 
 def scan_runs(docs: DataFrame, window: int, k: int, id_col: str, text_col: str) -> DataFrame:
@@ -119,7 +119,7 @@ def scan_runs(docs: DataFrame, window: int, k: int, id_col: str, text_col: str)
                 kept = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(kept).cast(pa.binary()), batch.column(1).take(kept), *lists], schema=out)
 
-    rows = _keyed(docs, id_col, text_col).select("_k", "_d", F.col(text_col).cast("string").cast("binary"))
+    rows = _keyed(docs.select(id_col, text_col), id_col, text_col).select("_k", "_d", F.col(text_col).cast("string").cast("binary"))
     scanned = rows.mapInArrow(scan, "_k binary, _d long, mh array<long>, rh array<long>")
     return materialize(scanned.withColumn("rid", F.monotonically_increasing_id()), "runs")
 
@@ -187,7 +187,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K, id_col: st
     masks = windows.where("n = 1").join(twice, ["mh", "wh"]).groupBy("rid", "run").agg(F.expr("bit_or(shiftleft(1L, place))").alias("mask"))
 
     heads = _paths(edges.where("n > 1").select("mh", "rh", "next", "prev"))
-    whole = live.join(heads, ["mh", "rh"]).select("rid", F.struct("run", "len", "tail", F.lit(0).cast("long").alias("mask")).alias("s"))
+    # Written by itself: where an edge is in a third of all rows, the join's large partitions are split only if nothing else shares its stage.
+    whole = materialize(live.join(heads.hint("shuffle_hash"), ["mh", "rh"]).select("rid", F.struct("run", "len", "tail", F.lit(0).cast("long").alias("mask")).alias("s")), "whole")
     part = masks.select("rid", F.struct("run", F.lit(0).cast("long").alias("len"), F.lit(0).cast("long").alias("tail"), "mask").alias("s"))
     spans = whole.unionByName(part).groupBy("rid").agg(F.collect_list("s").alias("spans"))
     return materialize(spans.join(keys, "rid").groupBy("_k", "_d").agg(F.first("spans").alias("spans")), "spans")
@@ -212,7 +213,7 @@ def _windows(docs: DataFrame, wanted: DataFrame, window: int, k: int, id_col: st
             if columns[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
-    rows = _keyed(docs, id_col, text_col).select("_k", "_d", F.col(text_col).cast("string").cast("binary").alias("_text"))
+    rows = _keyed(docs.select(id_col, text_col), id_col, text_col).select("_k", "_d", F.col(text_col).cast("string").cast("binary").alias("_text"))
     rows = rows.join(wanted.dropDuplicates(["rid"]).hint("shuffle_hash"), ["_k", "_d"]).select("rid", "runs", "_text")
     return rows.mapInArrow(each, "rid long, run int, place int, mh long, wh long, n long")
 
@@ -222,9 +223,11 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, id_col: str =
 
     A word goes if a window of `window` words that covers it starts anywhere else too, the same row included; windows are
     judged on the input. Null and short texts lose nothing. Repeated rows count as rows: a text of `window` words or more
-    that stands in two rows goes from both. Extra columns pass through; they must not be named n_words, n_removed, kept.
+    that stands in two rows goes from both. Extra columns pass through; ones named n_words, n_removed or kept are replaced,
+    and names that begin with _cm_ are the operator's own. An empty table gives no rows.
     """
-    spans = repeated_spans(docs, window, k, id_col, text_col)
+    docs = docs.drop("n_words", "n_removed", "kept")
+    spans = repeated_spans(docs, window, k, id_col, text_col).toDF("_cm_k", "_cm_d", "_cm_spans")
     names = docs.columns
     plain = docs.select(*names, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept"))
     at = names.index(text_col)
@@ -243,7 +246,8 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, id_col: str =
                 n_removed.append(0 if gone is None else int(gone.sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "kept"])
 
-    joined = _keyed(docs, id_col, text_col).join(spans.hint("shuffle_hash"), ["_k", "_d"], "left").select(*names, "spans")
+    keyed = _keyed(docs, id_col, text_col, "_cm_k", "_cm_d")
+    joined = keyed.join(spans.hint("shuffle_hash"), ["_cm_k", "_cm_d"], "left").select(*names, "_cm_spans")
     return joined.mapInArrow(each, plain.schema)
 
 
