@@ -51,7 +51,9 @@ class Writer:
 
     def __init__(self, dictionary: bytes, width: int) -> None:
         self.hash, self.width = hashlib.sha256(dictionary).digest(), width
-        self.frame = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True).compress
+        shared = zstandard.ZstdCompressionDict(dictionary)
+        shared.precompute_compress(level=LEVEL)  # digested once, not for each frame
+        self.frame = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True).compress
         self.rows: list[tuple[int, int, int, int]] = []
         self.ids = 0
 
@@ -125,7 +127,9 @@ def write_files(docs: DataFrame, vocabulary: str | None = None, files: int | Non
     enc = encoder(vocabulary)
     width = 2 if enc.library.get_vocab_size() <= 1 << 16 else 4
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    drawn = rows.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_BYTES).alias("text")).orderBy("h").limit(SAMPLE_DOCS)
+    share = int(min(1.0, 1.5 * SAMPLE_DOCS / max(rows.count(), 1)) * (1 << 30))  # so that a task sends its share of the sample, not a whole one
+    hashed = rows.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_BYTES).alias("text")).where(F.pmod("h", F.lit(1 << 30)) <= share)
+    drawn = hashed.orderBy("h").limit(SAMPLE_DOCS)
     end = END.to_bytes(4, "little")
     samples = [serialize(enc.encode(r.text)[: SAMPLE_BYTES * 4 // width] + end, width) for r in drawn.select("text").collect()]
     dictionary = train_dictionary(samples)
