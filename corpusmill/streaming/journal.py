@@ -42,8 +42,10 @@ def consume(stream: DataFrame, ledger_path: str, checkpoint: str, source: str, n
         order = F.struct("path", "line")
         firsts = df.groupBy("stmt_key").agg(F.min(order).alias("_o"))
         rows = df.withColumn("_this", order).join(firsts, "stmt_key")
-        lead = rows.where(F.col("_this") == F.col("_o")).dropDuplicates(["stmt_key"]).drop("_this", "_o")
-        rest = rows.where(F.col("_this") != F.col("_o")).select("uid", "stmt_key", "content_hash").withColumn("verdict", F.lit("replay"))
+        same = rows.where(F.col("_this") == F.col("_o")).groupBy("uid", "stmt_key", "content_hash").agg(F.count(F.lit(1)).alias("_n"))
+        lead = same.drop("_n")
+        again = same.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).where("_k > 1").drop("_n", "_k")
+        rest = rows.where(F.col("_this") != F.col("_o")).select("uid", "stmt_key", "content_hash").unionByName(again).withColumn("verdict", F.lit("replay"))
         checked = ledger_check(lead.select("uid", "stmt_key", "content_hash"), ledger)
         fresh = checked.where("verdict in ('new', 'warn')").select("uid", "stmt_key", "content_hash", F.lit(str(batch_id)).alias("batch"), F.lit(source).alias("source_journal"), F.lit(None).cast("long").alias("journal_line"), F.lit(now_iso).alias("sliced_at"), F.lit(False).alias("warn_only"))
         fresh.write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}")
