@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import latex, text, verify
 from ..identity import dedup_key, gate_uid, ingest_uid, rollout_cache_key, statement_cache_key, stmt_key
-from ..operators import dedupe, normalise, report, rollouts, slices, spans, splits, training, verdicts
+from ..operators import acquire, dedupe, normalise, report, rollouts, slices, spans, splits, training, verdicts
 from . import standins as S
 from .standins import COMBOS, WS, table, with_
 
@@ -836,6 +836,105 @@ def _(spark, sf):
     return e.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("rows")).select("event_type", F.col("window.start").cast("date").alias("day"), "rows")
 
 
+# --- acquisition and lookups ---------------------------------------------------------------------------------------------
+
+
+@query("j4_unseen", "SELECT doc_id FROM documents WHERE source NOT IN (SELECT 'src' || item_id FROM benchmark)")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("arxiv_id"))
+    return acquire.unseen(d, table(spark, sf, "benchmark").select(F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("arxiv_id"))).select("doc_id")
+
+
+@query("j5_surplus_only", "SELECT doc_id FROM documents WHERE text IS NOT NULL AND text NOT IN (SELECT d.text FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.text IS NOT NULL)")
+def _(spark, sf):
+    d = table(spark, sf, "documents").where("text is not null").select("doc_id", F.col("text").alias("statement"))
+    return acquire.surplus_only(d, d.join(table(spark, sf, "labels"), "doc_id", "left_semi")).select("doc_id")
+
+
+@query("f13_discard", "SELECT doc_id, CASE WHEN lang = 'en' THEN 'generated' WHEN source = 'src1' THEN 'no_arxiv_id' END AS discard_reason FROM documents")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("lang") == "en", "Computed").alias("provenance"), "source")
+    return acquire.predisposition(d, F.when(F.col("source") != "src1", F.col("source"))).select("doc_id", "discard_reason")
+
+
+def _lookups(spark, sf) -> tuple[DataFrame, DataFrame]:
+    d = table(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("uid"), F.col("lang").alias("title"), "source", F.lit("x").alias("provenance"))
+    queued = acquire.predisposition(d, F.when(F.col("source") != "src1", F.col("source")))
+    papers = acquire.unique_papers(queued.where("discard_reason is null"), "doc_id")
+    verdict = lambda like, status: d.where(F.col("source").rlike(like)).select(F.col("source").alias("arxiv_id"), F.lit(status).alias("status"), F.lit("high").alias("confidence")).distinct()
+    return queued, acquire.lookups(papers, verdict("[13579]$", "published"), verdict("[0-4]$", "unpublished"))
+
+
+@query("j7_unique_papers", "SELECT source AS arxiv_id, arg_min(lang, doc_id) AS title, CAST(min(doc_id) AS VARCHAR) AS uid FROM documents WHERE source <> 'src1' GROUP BY source")
+def _(spark, sf):
+    return _lookups(spark, sf)[1].select("arxiv_id", "title", "uid")
+
+
+@query("j30_lookups", "SELECT DISTINCT source AS arxiv_id, CASE WHEN regexp_matches(source, '[13579]$') THEN 'published' WHEN regexp_matches(source, '[0-4]$') THEN 'unpublished' ELSE 'error' END AS status, regexp_matches(source, '[13579]$') AS cache_hit FROM documents WHERE source <> 'src1'")
+def _(spark, sf):
+    return _lookups(spark, sf)[1].select("arxiv_id", "status", "cache_hit")
+
+
+@query("p18_cloned", "SELECT doc_id, CASE WHEN source = 'src1' THEN 'discarded' WHEN regexp_matches(source, '[13579]$') THEN 'published' WHEN regexp_matches(source, '[0-4]$') THEN 'unpublished' ELSE 'error' END AS status FROM documents WHERE source IS NOT NULL")
+def _(spark, sf):
+    return acquire.cloned(*_lookups(spark, sf)).select("doc_id", "status")
+
+
+@query("j2_published", "SELECT doc_id FROM documents WHERE source <> 'src1' AND regexp_matches(source, '[13579]$')")
+def _(spark, sf):
+    return acquire.published(acquire.cloned(*_lookups(spark, sf))).select("doc_id")
+
+
+@query("a7_lookup_usage", "SELECT count(*) AS sample_count, count(DISTINCT user_id) AS papers_with_usage, CAST(coalesce(sum(event_id), 0) AS BIGINT) AS input_tokens, CAST(count(*) AS BIGINT) AS output_tokens FROM events WHERE event_type <> 'view' AND value < 100")
+def _(spark, sf):
+    e = table(spark, sf, "events")
+    s = e.select(F.col("user_id").cast("string").alias("arxiv_id"), (F.col("event_type") == "view").alias("cache_hit"), F.when(F.col("value") < 100, F.col("event_id")).alias("input_tokens"), F.when(F.col("value") < 100, F.lit(1)).cast("long").alias("output_tokens"))
+    return acquire.lookup_usage(s)
+
+
+@query("m16_cached_outputs", "SELECT event_id, CASE WHEN user_id IN (SELECT item_id FROM benchmark) THEN 'o' END AS output, user_id IN (SELECT item_id FROM benchmark) AS from_cache FROM events")
+def _(spark, sf):
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("cache_key"), F.lit("o").alias("output"))
+    return acquire.cached_outputs(table(spark, sf, "events").select("event_id", F.col("user_id").alias("cache_key")), b).select("event_id", "output", "from_cache")
+
+
+@query("p24_first_path", "SELECT event_id, regexp_extract(props, ': ([0-9]+)', 1) AS k FROM events")
+def _(spark, sf):
+    return table(spark, sf, "events").select("event_id", acquire.first_path(F.col("props"), ["a.b", "k"]).alias("k"))
+
+
+@query("f15_near_solved", "SELECT CAST(l.doc_id AS VARCHAR) AS uid, CASE WHEN d.n_chars % 8 <> 7 THEN 'tally' WHEN lang <> 'en' THEN 'label' WHEN coalesce(text, '') = '' THEN 'blank statement' END AS problem FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE NOT (d.n_chars % 8 = 7 AND lang = 'en' AND coalesce(text, '') <> '')")
+def _(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("uid"), (F.col("n_chars") % 8).alias("n_correct"), F.when(F.col("lang") == "en", "solved").otherwise("band").alias("label"), F.col("text").alias("statement"))
+    return acquire.near_solved(d, table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("uid")))[1]
+
+
+@query("a25_flag_counts", "SELECT flag, count(*) AS records FROM (SELECT unnest(list_filter([CASE WHEN toxic = 1 THEN 'answer_mismatch' END, CASE WHEN quality = 0 THEN 'degenerate_candidate' END], lambda x: x IS NOT NULL)) AS flag FROM labels) GROUP BY flag")
+def _(spark, sf):
+    lab = table(spark, sf, "labels")
+    flags = acquire.review_flags(F.col("quality") == 0, F.when(F.col("toxic") == 1, "mismatch").otherwise("match"))
+    return acquire.flag_counts(lab.select(flags.alias("review_flags")))
+
+
+@query("x32_judge_score", with_("sa") + "SELECT uid, round(CASE WHEN count(*) FILTER (verdict = 'pass') > 2 THEN count(*) FILTER (verdict = 'pass') / count(*) ELSE 0.5 END, 6) AS score FROM sa GROUP BY uid")
+def _(spark, sf):
+    s = S.samples(spark, sf).groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "pass").alias("p"))
+    status = F.when(F.col("p") > 2, "pass").otherwise("defer")
+    return s.select("uid", F.round(acquire.judge_score(status, F.col("p"), F.col("n")), 6).alias("score"))
+
+
+@query("r69_handoff_matches", "SELECT true AS same")
+def _(spark, sf):
+    d = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("uid"))
+    return acquire.handoff_matches(d, d).select("same")
+
+
+@query("s10_ids_for", "SELECT doc_id FROM documents WHERE lang = 'fr' AND source LIKE 'src1%' ORDER BY doc_id")
+def _(spark, sf):
+    index = table(spark, sf, "documents").select(F.concat("source", F.lit("."), F.col("doc_id").cast("string")).alias("arxiv_id"), F.array("lang").alias("categories"), F.col("lang").alias("primary_category"))
+    return spans.ids_for(index, "fr", "src1").select(F.substring_index("arxiv_id", ".", -1).cast("long").alias("doc_id"))
+
+
 # --- flagship ------------------------------------------------------------------------------------------------------------
 
 

@@ -168,3 +168,21 @@ def test_chunks_by_month_and_width(spark):
     w = spark.createDataFrame([("2302.00001",), ("2301.0005",), ("math/0301001",), ("2301.00010",)], "arxiv_id string")
     assert rows(spans.chunks_for_ids(m, w), "filename") == [("a",), ("b",)]
     assert spans.rollup(m).first().chunk_count == 3 and rows(spans.select_chunks(m, 2023), "filename") == [("a",), ("b",), ("c",)]
+
+
+def test_acquisition(spark, tmp_path):
+    from corpusmill.operators import acquire
+
+    assert (acquire.estimated_calls(100), acquire.estimated_calls(100, "latex"), acquire.estimated_calls(100, "qa")) == (12, 612, 8412)
+    m = spark.createDataFrame([("2301", 2500), ("2302", 10)], "yymm string, num_items int")
+    assert acquire.bulk_calls(m, 1) == 11 and acquire.bulk_calls(m, 1, "qa", "2302") == 86 and acquire.bulk_calls(None, 1) == 8
+    chat = spark.createDataFrame([("p", "c")], "prompt string, completion string")
+    assert acquire.dataset_format(chat) == "prompt_completion"
+    with pytest.raises(ValueError):
+        acquire.dataset_format(chat.withColumn("messages", F.lit("m")))
+    c = spark.createDataFrame([("p1", None, False, "candidate"), ("p1", "bad", False, None), ("p2", None, False, "surplus"), (None, None, True, "candidate")], "arxiv_id string, quarantine_reason string, duplicate boolean, outcome string")
+    assert {r.part: r.rows for r in acquire.write_run(c, str(tmp_path)).collect()} == {"papers": 2, "candidates": 4, "quarantine": 1, "handoff": 1, "surplus": 1}
+    assert acquire.config_mismatches({"a": 1}, {"a": 2}, ["a", "b"]) == ["a: persisted=1 vs current=2"]
+    scored = spark.createDataFrame([("u", 7, "solved", "s"), ("w", 6, "solved", "s"), ("x", 7, "solved", "s"), ("x", 7, "solved", "s")], "uid string, n_correct int, label string, statement string")
+    good, bad = acquire.near_solved(scored, spark.createDataFrame([("u",), ("w",), ("x",), ("y",)], "uid string"))
+    assert rows(good, "uid") == [("u",)] and rows(bad, "uid", "problem") == [("w", "tally"), ("x", "ambiguous"), ("y", "missing")]
