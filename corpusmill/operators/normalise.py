@@ -141,7 +141,7 @@ def quarantine(df: DataFrame, order: str, guard: str = "off") -> DataFrame:
     return joined.withColumn("duplicate", F.coalesce(kept & (F.col(order) > F.col("_first")), F.lit(False))).drop("_first")
 
 
-def canonical(df: DataFrame, source: str, families: Sequence[str]) -> DataFrame:
+def canonical(df: DataFrame, source: str, families: Sequence[str], default_family: str = "extracted") -> DataFrame:
     """Kept candidates -> canonical columns, with warnings; truth stands in for a missing answer."""
     answer, truth = F.nullif(column(df, "answer"), F.lit("")), F.nullif(column(df, "truth"), F.lit(""))
     shown = F.coalesce(answer, truth)
@@ -151,7 +151,7 @@ def canonical(df: DataFrame, source: str, families: Sequence[str]) -> DataFrame:
     warnings = F.array_compact(F.array(F.when(shown.rlike("|".join(JUNK_MARKERS)), F.lit("answer carries macro residue")), F.when(arxiv.isNull(), F.lit("no arxiv_id"))))
     return df.select(
         F.lit(source).alias("source"), kept.alias("provenance"), truth_policy(df, kept).alias("truth_policy"), "statement",
-        F.coalesce(F.nullif(column(df, "family"), F.lit("")), F.lit(families[0] if len(families) == 1 else "realmath")).alias("family"),
+        F.coalesce(F.nullif(column(df, "family"), F.lit("")), F.lit(families[0] if len(families) == 1 else default_family)).alias("family"),
         shown.alias("answer"), other.alias("truth"), arxiv.alias("arxiv_id"), warnings.alias("warnings"), elision_signals(F.col("statement")).alias("elision_signals"),
     )
 
