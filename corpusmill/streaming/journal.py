@@ -7,7 +7,6 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import BATCH_STATES, FROZEN
 from ..identity import content_hash, gate_uid, stmt_key
 from ..operators.slices import ledger_check
 from ..schemas import LEDGER
@@ -64,12 +63,3 @@ def windowed_counts(events: DataFrame, lateness: str = "1 hour", width: str = "1
     """Rows by event-time window and kind; `ts` is made a zoned timestamp first, as watermarks need one."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     return timed.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("rows"))
-
-
-def transition(state: str, to: str) -> str:
-    """The next state of a batch: one step at a time; any but the last can freeze."""
-    if to == FROZEN and state in BATCH_STATES[:-1]:
-        return to
-    if state in BATCH_STATES and to in BATCH_STATES and BATCH_STATES.index(to) == BATCH_STATES.index(state) + 1:
-        return to
-    raise ValueError(f"no step from {state} to {to}")

@@ -111,10 +111,3 @@ def test_windows_need_a_zoned_timestamp(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("w").agg(F.sum("rows")).first()[0] == spark.read.parquet(src).count()
-
-
-def test_states():
-    assert journal.transition("SLICED", "MOUNTED") == "MOUNTED" and journal.transition("MOUNTED", "FROZEN") == "FROZEN"
-    for a, b in (("SLICED", "READY"), ("READY", "FROZEN"), ("MOUNTED", "SLICED")):
-        with pytest.raises(ValueError):
-            journal.transition(a, b)
