@@ -14,7 +14,7 @@ import re
 LETTER, DIGIT, SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 PATTERN = f" ?[{LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{DIGIT}]+| ?[^{SPACE}{LETTER}{DIGIT}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Distinct pre-tokens held by a worker before it starts anew: bounds memory, not results.
-HELD = 700_000
+HELD = 500_000
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -25,6 +25,24 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class _Pieces(dict):
+    """Pre-token -> its ids as little-endian uint32 bytes; what is not there yet goes through the library's model."""
+
+    def __init__(self, library) -> None:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {c: spell(chr(c))[0][0] for c in range(256)}  # the library's spelling of a character's bytes
+        self.model = library.model
+        self.words = [i.to_bytes(4, "little") for i in range(library.get_vocab_size())]
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= HELD:
+            self.clear()
+        ids = self[piece] = b"".join([self.words[t.id] for t in self.model.tokenize(piece.translate(self.spelling))])
+        return ids
+
+
 class Encoder:
     """encode(text) -> little-endian unsigned 32-bit ids."""
 
@@ -37,7 +55,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path or vocabulary_path())
         self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         self.split = re.compile(PATTERN).findall
-        self.held: dict[str, bytes] = {}
+        self.held = _Pieces(self.library)
 
     def whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
@@ -52,17 +70,7 @@ class Encoder:
             return self.whole(text)
         if any(s in text for s in self.special):
             return self.whole(text)
-        pieces, held = self.split(text), self.held
-        try:
-            return b"".join([held[p] for p in pieces])
-        except KeyError:
-            pass
-        if len(held) > HELD:
-            held.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in held]
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            held[p] = b"".join([i.to_bytes(4, "little") for i in e.ids])
-        return b"".join([held[p] for p in pieces])
+        return b"".join(map(self.held.__getitem__, self.split(text)))
 
 
 _held: dict[str, Encoder] = {}
