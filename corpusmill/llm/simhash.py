@@ -164,16 +164,18 @@ def local_links(points: np.ndarray, radius: int, seed: int = 0) -> tuple[np.ndar
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) for every row; null and blank texts have fingerprint 0."""
+    """(doc_id, fp long, text_hash long) for every row; null and blank texts have fingerprint 0."""
     bounded_batches(docs.sparkSession)
-    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("text_hash", pa.int64())])
 
     def each(batches):
         for batch in batches:
             fps = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield arrow_rows(out, [batch.column(0), _signed(fps)])
+            yield arrow_rows(out, [batch.column(0), _signed(fps), batch.column(2)])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(each, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("text_hash"))
+    return rows.mapInArrow(each, "doc_id long, fp long, text_hash long")
 
 
 def linked(distinct: DataFrame, radius: int = 3, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
@@ -210,7 +212,7 @@ def linked(distinct: DataFrame, radius: int = 3, sample: int = SAMPLE, shard: in
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
-    """(doc_id, fp long, component_id) per row of docs.
+    """(doc_id, fp long, text_hash, component_id, root) per row of docs; root is the component's least fingerprint.
 
     Rows with equal fingerprints, or chained by fingerprints at radius or fewer differing bits, form a component, named by
     its smallest doc_id. Null or blank text: fingerprint 0, linked like any other. A row with a null id keeps its place and
@@ -222,10 +224,22 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(linked(distinct.select("fp"), radius, sample, shard)).toDF("fp", "root")
     least = roots.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("least"))
-    moved = roots.join(least, "root").select("fp", "least")
-    named = materialize(distinct.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "named")
+    moved = roots.join(least, "root").select("fp", "root", "least")
+    known = F.col("root").isNotNull()  # a component of one fingerprint has no row here
+    named = distinct.join(moved, "fp", "left").select("fp", F.when(known, F.col("least")).otherwise(F.col("first")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    named = materialize(named, "named")
     release(spark)
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named, "fp").select("doc_id", "fp", "text_hash", "component_id", "root")
+
+
+def representatives(found: DataFrame) -> DataFrame:
+    """near_duplicates' rows -> one (doc_id, text_hash, rows) for each component: its smallest id, then text hash; null ids last.
+
+    rows: how many rows of the table are that very document.
+    """
+    per = found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash", "rows"))
+    return per.groupBy("root").agg(best.alias("b")).select("b.doc_id", "b.text_hash", "b.rows")
 
 
 def hex_fingerprint(fp):

@@ -75,3 +75,10 @@ def test_every_operator_is_registered(spark):
 
     found = __spark_entry__.queries()
     assert {n.split("_")[0] for n in found if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in found
+
+
+def test_one_of_each_group_stays(spark):
+    a, b = "one two three four five six", "something else entirely and longer than that"
+    rows = [(None, a, None, None, 1), (None, b, None, None, 1), (3, b.upper(), None, None, 1), (3, b.upper(), None, None, 1), (7, "", None, None, 0), (8, None, None, None, 0), (None, a, None, None, 1)]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOC), SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(None, a), (3, b.upper()), (7, "")], key=str)
