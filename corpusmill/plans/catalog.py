@@ -198,7 +198,7 @@ def _(spark, sf):
     return rollouts.label_counts(_tally(spark, sf))
 
 
-@query("a22_verdict_totals", with_("ro", "ta") + "SELECT sum(n_correct) AS n_correct, sum(n_wrong) AS n_wrong, sum(n_degenerate) AS n_degenerate FROM ta")
+@query("a22_verdict_totals", with_("ro", "ta") + "SELECT CAST(sum(n_correct) AS BIGINT) AS n_correct, CAST(sum(n_wrong) AS BIGINT) AS n_wrong, CAST(sum(n_degenerate) AS BIGINT) AS n_degenerate FROM ta")
 def _(spark, sf):
     return rollouts.verdict_totals(_tally(spark, sf))
 
@@ -263,11 +263,11 @@ _COMBINED = "c AS (SELECT uid, count(*) AS present, count(*) FILTER (status = 'w
 _ADMIT = {"intersect": "present = 3 AND pass_count = 3", "union": "pass_count >= 1", "majority": "pass_count * 2 > present"}
 
 for _policy, _admit in _ADMIT.items():
-    _sql = with_("ve", "la") + f", {_COMBINED} SELECT uid, CASE WHEN {_admit} THEN 'well_posed' WHEN i > 0 THEN 'ill_posed' WHEN e > 0 THEN 'error' WHEN d > 0 THEN 'defer' ELSE 'error' END AS status, pass_count, present, CASE WHEN {_admit} THEN 1.0 ELSE 0.0 END AS score FROM c"
+    _sql = with_("ve", "la") + f", {_COMBINED} SELECT uid, CASE WHEN {_admit} THEN 'well_posed' WHEN i > 0 THEN 'ill_posed' WHEN e > 0 THEN 'error' WHEN d > 0 THEN 'defer' ELSE 'error' END AS status, pass_count, present, CAST(CASE WHEN {_admit} THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score FROM c"
     query(f"a13_{_policy}", _sql)(lambda spark, sf, p=_policy: verdicts.combine(_latest(spark, sf), COMBOS, p))
 
 
-@query("a14_prefer", with_("ve", "la") + "SELECT uid, status, CASE status WHEN 'well_posed' THEN 1.0 WHEN 'defer' THEN 0.5 ELSE 0.0 END AS score FROM la WHERE combo = 'view'")
+@query("a14_prefer", with_("ve", "la") + "SELECT uid, status, CAST(CASE status WHEN 'well_posed' THEN 1.0 WHEN 'defer' THEN 0.5 ELSE 0.0 END AS DOUBLE) AS score FROM la WHERE combo = 'view'")
 def _(spark, sf):
     return verdicts.combine(_latest(spark, sf), COMBOS, "prefer:view").select("uid", "status", "score")
 
