@@ -4,28 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(path, line_no from 1, line, terminated) for each line of whole files.
+    """(path, line_no from 1, line, terminated, is_last) for each line.
 
-    A file is one row until it is split, so lines keep their order; journals and record drops are bounded files. `terminated`
-    is false for a last line without a line end.
+    Files are read in splits. A line's number is its place in its split plus the lines of the file's earlier splits, so no
+    task holds a file and nothing is sorted; what is broadcast has a row for each split. `terminated` is false for a last
+    line without a line end, which the file's size tells.
     """
-    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("_all"))
-    rows = files.select("path", F.length("_all").alias("_n"), F.endswith("_all", F.lit("\n")).alias("_closed"), F.posexplode(F.split("_all", "\r?\n")).alias("_at", "line"))
-    last = F.max("_at").over(_by_path())
-    rows = rows.withColumn("_last", last)
-    kept = rows.where(~((F.col("_at") == F.col("_last")) & (F.col("line") == "")))
-    return kept.select("path", (F.col("_at") + 1).cast("long").alias("line_no"), "line", ((F.col("_at") < F.col("_last")) | F.col("_closed")).alias("terminated"))
-
-
-def _by_path():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("path")
+    place = F.monotonically_increasing_id()  # rises along a split
+    meta = [F.col(f"_metadata.{c}").alias(f"_{c}") for c in ("file_block_start", "file_size")]
+    rows = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("path"), *meta, F.col("value").alias("_v"), place.alias("_id"))
+    rows = rows.withColumnsRenamed({"_file_block_start": "_block", "_file_size": "_size"})
+    blocks = rows.groupBy("path", "_block", "_size").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_lo"), F.sum(F.octet_length("_v") + 1).alias("_bytes"))
+    own, so_far = Window.partitionBy("path"), Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(
+        "path", "_block", "_lo", F.coalesce(F.sum("_n").over(so_far), F.lit(0)).alias("_before"), F.sum("_n").over(own).alias("_all"), (F.sum("_bytes").over(own) <= F.col("_size")).alias("_closed")
+    )
+    joined = rows.drop("_size").join(F.broadcast(blocks), ["path", "_block"]).withColumn("line_no", F.col("_before") + F.col("_id") - F.col("_lo") + 1)
+    last = F.col("line_no") == F.col("_all")
+    return joined.select("path", "line_no", F.regexp_replace("_v", "\r$", "").alias("line"), (~last | F.col("_closed")).alias("terminated"), last.alias("is_last"))
 
 
 def is_json(line: Column) -> Column:
@@ -49,7 +50,7 @@ def parse(lines: DataFrame, schema: str, tolerance: str = "strict") -> DataFrame
     elif tolerance == "torn_tail":
         rows = rows.where("terminated")
     elif tolerance == "last_line":
-        rows = rows.withColumn("_last", F.max("line_no").over(_by_path())).where(~(bad & (F.col("line_no") == F.col("_last")))).drop("_last")
+        rows = rows.where(~(bad & F.col("is_last")))
     elif tolerance != "strict":
         raise ValueError(f"unknown tolerance {tolerance!r}")
     checked = F.when(bad, F.raise_error(F.concat(F.col("path"), F.lit(":"), F.col("line_no"), F.lit(": not JSON")))).otherwise(F.col("line"))

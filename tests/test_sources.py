@@ -24,6 +24,21 @@ def test_line_tolerances(spark, tmp_path):
         lines.parse(lines.read_lines(spark, str(p)), "uid string", "torn_tail").collect()
 
 
+def test_line_numbers_across_splits(spark, tmp_path):
+    for name, end in (("a", "\n"), ("b", "")):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(json.dumps({"n": i, "pad": "é" * (i % 90)}) for i in range(1, 3001)) + end)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        held = lines.read_lines(spark, str(tmp_path))
+        got = held.select("path", "line_no", F.get_json_object("line", "$.n").cast("long").alias("n"), "terminated", "is_last").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert len(got) == 6000 and all(r.line_no == r.n for r in got)
+    assert sorted((r.path[-7:], r.n) for r in got if r.is_last) == [("a.jsonl", 3000), ("b.jsonl", 3000)]
+    assert [(r.path[-7:], r.n) for r in got if not r.terminated] == [("b.jsonl", 3000)]
+
+
 def test_mount(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"statement": "x", "source": null}\n{"statement": "y"}\n')
     (tmp_path / "b.json").write_text(json.dumps({"records": [{"statement": "z", "source": "own"}]}))
