@@ -186,8 +186,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K, id_col: st
     twice = windows.groupBy("mh", "wh").agg(F.sum("n").alias("n")).where("n > 1").select("mh", "wh")
     masks = windows.where("n = 1").join(twice, ["mh", "wh"]).groupBy("rid", "run").agg(F.expr("bit_or(shiftleft(1L, place))").alias("mask"))
 
-    heads = _paths(edges.where("n > 1").select("mh", "rh", "next", "prev"))
-    # Written by itself: where an edge is in a third of all rows, the join's large partitions are split only if nothing else shares its stage.
+    # Both written by themselves: where an edge is in a third of all rows, the join's large partitions are split only if nothing else shares its stage.
+    heads = materialize(_paths(edges.where("n > 1").select("mh", "rh", "next", "prev")), "heads")
     whole = materialize(live.join(heads.hint("shuffle_hash"), ["mh", "rh"]).select("rid", F.struct("run", "len", "tail", F.lit(0).cast("long").alias("mask")).alias("s")), "whole")
     part = masks.select("rid", F.struct("run", F.lit(0).cast("long").alias("len"), F.lit(0).cast("long").alias("tail"), "mask").alias("s"))
     spans = whole.unionByName(part).groupBy("rid").agg(F.collect_list("s").alias("spans"))
