@@ -8,15 +8,24 @@ from pyspark.sql import functions as F
 from .common import materialize, release
 
 
+#: A node's edges meet its least neighbour in so many groups, so that a hub's edges are no task's own.
+SALTS = 16
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    salted = edges.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return salted.join(least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["u", "_s"])
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return _with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select("v", "m").where("v <> m").toDF("u", "v")
+    moved = _with_least(edges, least).select("v", "m").where("v <> m").toDF("u", "v")
     return moved.unionByName(least.toDF("u", "v")).distinct()
 
 
@@ -29,8 +38,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges(a, b) of one sortable type -> (node, root): every node of an edge with its component's least node.
 
     Nothing but a count and a checksum of each round goes to the driver. Self edges and repeated edges are
-    harmless; nulls are dropped; an empty table gives an empty result. A hub's edges are a skewed join key that
-    AQE splits; its least neighbour is a partial aggregate.
+    harmless; nulls are dropped; an empty table gives an empty result. A hub's edges are
+    dealt to SALTS groups; its least neighbour is a partial aggregate.
     """
     now = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = materialize(now, "star")
