@@ -62,14 +62,17 @@ def prompt_leaks(rows: DataFrame, eval_statements: DataFrame, prompt: str = "pro
     are few and are compared through their own length.
     """
     wanted = eval_statements.select("statement").where("statement <> ''").distinct()
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())  # stretches carry the row's number, not its prompt
     found = None
     for lengths, size in ((F.length("statement") >= shingle, shingle), (F.length("statement") < shingle, None)):
         own = wanted.where(lengths).withColumn("_n", F.lit(size) if size else F.length("statement"))
         sizes = [r[0] for r in own.select("_n").distinct().collect()]  # at most `shingle` lengths
         for n in sizes:
-            keys = own.where(F.col("_n") == n).select(F.substring("statement", 1, n).alias("_k"), "statement")
-            pieces = rows.select("*", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(prompt) - n + 1, F.lit(1))), lambda i: F.substr(F.col(prompt), i, F.lit(n))))).alias("_k"))
-            hit = pieces.join(keys, "_k").where(F.contains(F.col(prompt), F.col("statement"))).select(*rows.columns)
+            keys = own.where(F.col("_n") == n).select(F.xxhash64(F.substring("statement", 1, n)).alias("_k"), "statement")
+            starts = F.sequence(F.lit(1), F.greatest(F.length(prompt) - n + 1, F.lit(1)))
+            pieces = numbered.select("_row", F.explode(F.transform(starts, lambda i: F.xxhash64(F.substr(F.col(prompt), i, F.lit(n))))).alias("_k"))
+            near = pieces.join(keys, "_k").select("_row", "statement").distinct()
+            hit = numbered.join(near, "_row").where(F.contains(F.col(prompt), F.col("statement"))).select(*rows.columns)
             found = hit if found is None else found.unionByName(hit)
     return rows.limit(0) if found is None else found.distinct()
 
