@@ -124,20 +124,21 @@ def _best_split(points: np.ndarray, metrics, rng: np.random.Generator, tries: in
     return None if best is None else (*best, *_sides(points, *best))
 
 
-def _forest(points: np.ndarray, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """label after joining the pairs (a, b): the least index of each component so far."""
-    if not len(a):
-        return label
+def _forest(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """label after joining the pairs (a, b): the least index of each component so far. label is flat: label[label] is label.
+
+    Only roots are hooked, each on a lower one, and then all is made flat again: no link found before is lost.
+    """
     while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        for side in (a, b):
-            np.minimum.at(new, side, low)
-            np.minimum.at(new, label[side], low)
-        new = new[new]
-        if np.array_equal(new, label):
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
             return label
-        label = new
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(label, label[label]):
+            label = label[label]
 
 
 def local_links(points: np.ndarray, radius: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -156,9 +157,7 @@ def local_links(points: np.ndarray, radius: int, seed: int = 0) -> tuple[np.ndar
             near = np.bitwise_count(p[k : k + 256, None] ^ p[None, k:]) <= radius
             a, b = np.nonzero(near)
             keep = a < b
-            label = _forest(points, own[a[keep] + k], own[b[keep] + k], label)
-    while not np.array_equal(label, label[label]):
-        label = label[label]
+            label = _forest(own[a[keep] + k], own[b[keep] + k], label)
     member = np.nonzero(label != np.arange(len(points)))[0]
     return points[member], points[label[member]]
 

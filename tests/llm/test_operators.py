@@ -116,6 +116,37 @@ def test_local_links_split_inside_a_task():
     assert len(a) == 300 and (np.bitwise_count(a ^ b) <= 3).all()
 
 
+@pytest.mark.parametrize("chains, length", [(2, 900), (40, 120)])
+def test_local_links_keep_long_chains_whole(chains, length):
+    rng = random.Random(9)
+    points = set()
+    for _ in range(chains):  # each step flips three bits: links run through many blocks, and through leaf groups beyond BLOCK rows
+        p = rng.getrandbits(64)
+        for _ in range(length):
+            p ^= sum(1 << b for b in rng.sample(range(64), 3))
+            points.add(p)
+    points = np.array(sorted(points), dtype=np.uint64)
+
+    def groups(pairs):
+        parent = list(range(len(points)))
+        for x, y in pairs:
+            while parent[x] != x:
+                x = parent[x]
+            while parent[y] != y:
+                y = parent[y]
+            parent[max(x, y)] = min(x, y)
+        out = []
+        for k in range(len(points)):
+            while parent[k] != k:
+                k = parent[k]
+            out.append(k)
+        return out
+
+    want = groups((i, j) for i in range(len(points)) for j in (i + 1 + np.nonzero(np.bitwise_count(points[i + 1 :] ^ points[i]) <= 3)[0]).tolist())
+    a, b = simhash.local_links(points, 3)
+    assert groups(zip(np.searchsorted(points, a).tolist(), np.searchsorted(points, b).tolist(), strict=True)) == want
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(400 + i, 401 + i) for i in range(40)] + [(5, 5), (None, 3)]
