@@ -32,20 +32,23 @@ SEED = 42
 FULL = 0xFFFFFFFFFFFFFFFF
 
 
+def shingles(tokens: list[bytes], words: int) -> np.ndarray:
+    """Hashes of the shingles of one token or more, in order; all tokens are one shingle where they are words or fewer."""
+    line = b" ".join(tokens)
+    if len(tokens) <= words:
+        return np.array([xxhash.xxh64_intdigest(line, SEED)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(line[s:e], SEED) for s, e in zip(starts[: len(tokens) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], dtype=np.uint64)
+
+
 def fingerprint(text: bytes | None, words: int = 3) -> int:
     """64-bit SimHash of lower-cased (A-Z) UTF-8 text: bit set if in over half the shingle hashes."""
     tokens = (text or b"").lower().split()  # bytes split at exactly [\x20\x09-\x0D]
     if not tokens:
         return 0
-    line = b" ".join(tokens)
-    if len(tokens) <= words:
-        hashes = [xxhash.xxh64_intdigest(line, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[s:e], SEED) for s, e in zip(starts[: len(tokens) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
-    h = np.array(hashes, dtype=np.uint64)
+    h = shingles(tokens, words)
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(h), 65536):  # bounds memory for very long texts
         bits = np.unpackbits(h[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

@@ -1,5 +1,8 @@
 """The pipeline's stages against plain re-statements of what they decide, and the registered queries against their SQL."""
 
+import random
+from collections import defaultdict
+
 import duckdb
 import pytest
 
@@ -82,3 +85,40 @@ def test_one_of_each_group_stays(spark):
     rows = [(None, a, None, None, 1), (None, b, None, None, 1), (3, b.upper(), None, None, 1), (3, b.upper(), None, None, 1), (7, "", None, None, 0), (8, None, None, None, 0), (None, a, None, None, 1)]
     got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOC), SF).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(None, a), (3, b.upper()), (7, "")], key=str)
+
+
+def test_near_copies_against_brute_force(spark):
+    rng, rows = random.Random(5), [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    vocabulary = [f"w{k}" for k in range(400)]
+    for c in range(12):  # clouds of near copies around one text, at similarities on both sides of 4/5
+        base = rng.choices(vocabulary, k=rng.randrange(40, 160))
+        for k in range(40):
+            own = list(base)
+            for _ in range(rng.randrange(0, max(2, len(base) // 25))):
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            rows.append((10_000 + 100 * c + k, "  ".join(own).upper() if k % 7 == 0 else " ".join(own)))
+    rows += [(20_000, ""), (20_001, None), (20_002, "one two"), (20_003, "One  two")]
+    sets, post = [], defaultdict(list)
+    for i, (_, text) in enumerate(rows):
+        w = (text or "").encode().lower().split()
+        sets.append({b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))})  # blank texts: one empty shingle
+        for g in sets[-1]:
+            post[g].append(i)
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i, own in enumerate(sets):
+        for j in {j for g in own for j in post[g] if j < i}:
+            shared = len(sets[i] & sets[j])
+            if 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared):
+                parent[find(i)] = find(j)
+    groups = defaultdict(set)
+    for i, (doc, _) in enumerate(rows):
+        groups[find(i)].add(doc)
+    df = spark.createDataFrame([(d, t, None, None, len(t or "")) for d, t in rows], DOC)
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(min(g) for g in groups.values())
