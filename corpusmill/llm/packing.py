@@ -1,4 +1,4 @@
-"""Best-fit packing by exact complements: fill gaps with one, two or three lengths that sum to them, then best fit.
+"""Best-fit packing by exact complements: an index of single, pair and triple sums gives the lengths that fill a gap exactly; then best fit.
 
 The plan is made on counts of lengths, of which there are at most `capacity`, so it costs the same for any number of
 documents: a plan is a short list of patterns (lengths that share a sequence) with a number of uses. Pieces are ranked
@@ -21,62 +21,90 @@ from .tokens import END, encoder
 CAPACITY = 1024
 
 
-def _combination(have: np.ndarray, gap: int, top: int, arities: tuple[int, ...]) -> tuple[int, ...] | None:
-    """One, two or three (as arities say) available lengths, none above top, that sum to gap; larger ones first."""
-    if 1 in arities and gap <= top and have[gap] > 0:
-        return (gap,)
-    if 2 in arities:
-        a = np.arange(min(top, gap - 1), (gap - 1) // 2, -1)  # pair sums: a >= gap - a
-        if len(a):
-            b = gap - a
-            fits = np.nonzero((have[a] > 0) & (have[b] > (a == b)))[0]
-            if len(fits):
-                return int(a[fits[0]]), int(b[fits[0]])
-    if 3 not in arities:
+class Sums:
+    """Lengths by the sum of one, two or three of them, for sums below capacity.
+
+    pairs[s] holds every (a, b) with a >= b and a + b = s, most even first, or most uneven first. A triple is kept as a length
+    and the key of a pair sum, so the index has capacity**2 entries at most, not capacity**3.
+    """
+
+    def __init__(self, lengths: np.ndarray, capacity: int, even: bool = True) -> None:
+        known = np.zeros(capacity + 1, dtype=bool)
+        known[lengths] = True
+        self.lengths = np.sort(lengths[lengths < capacity])[:: 1 if even else -1]
+        self.pairs: dict[int, np.ndarray] = {}
+        for s in range(2, capacity):
+            a = self.lengths[(self.lengths >= s - self.lengths) & (self.lengths < s)]
+            a = a[known[s - a]]
+            if len(a):
+                self.pairs[s] = np.stack([a, s - a], axis=1)
+
+    def single(self, have: np.ndarray, gap: int) -> tuple[int, ...] | None:
+        return (gap,) if have[gap] > 0 else None
+
+    def pair(self, have: np.ndarray, gap: int) -> tuple[int, ...] | None:
+        found = self.pairs.get(gap)
+        if found is None:
+            return None
+        a, b = found[:, 0], found[:, 1]
+        fits = (have[a] > 0) & (have[b] > (a == b))
+        k = int(fits.argmax())
+        return (int(a[k]), int(b[k])) if fits[k] else None
+
+    def triple(self, have: np.ndarray, gap: int) -> tuple[int, ...] | None:
+        for a in self.lengths[(3 * self.lengths >= gap) & (self.lengths < gap)].tolist():
+            if have[a] <= 0 or gap - a not in self.pairs:
+                continue
+            b, c = self.pairs[gap - a].T
+            fits = (b <= a) & (have[b] > (b == a)) & (have[c] > (c == b).astype(int) + (c == a))
+            k = int(fits.argmax())
+            if fits[k]:
+                return a, int(b[k]), int(c[k])
         return None
-    for a in range(min(top, gap - 2), (gap - 1) // 3, -1):  # triple sums: a >= b >= c
-        if have[a] <= 0:
-            continue
-        rest = gap - a
-        b = np.arange(min(a, rest - 1), (rest - 1) // 2, -1)
-        if len(b):
-            c = rest - b
-            fits = np.nonzero((have[b] > (b == a)) & (have[c] > (c == b).astype(int) + (c == a)))[0]
-            if len(fits):
-                return a, int(b[fits[0]]), int(c[fits[0]])
-    return None
 
 
-#: Orders of taking combinations. Each entry is a sweep over the lengths, longest first, with the arities it may use:
-#: early triples can use up the short pieces that later gaps need, so the plan with the fewest sequences is kept.
-SWEEPS = (((1, 2, 3),), ((1,), (2,), (3,)), ((1,), (2,)), ((1,),))
+#: Shares of the capacity. A plan fills gaps of more than such a share by pairs and triples, the largest first, and leaves smaller
+#: ones to best fit; where pieces are few, exact fills of small gaps use up the short pieces that best fit needs.
+LEAST_GAPS = (0.0, 0.2, 0.3, 0.36, 0.4, 0.44, 0.47, 0.495)
 
 
 def plan_patterns(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
-    """counts[length] pieces of each length 1..capacity -> (uses, lengths) patterns that take every piece once."""
-    plans = (_plan(counts, capacity, sweeps) for sweeps in SWEEPS)
+    """counts[length] pieces of each length 1..capacity -> (uses, lengths) patterns that take every piece once.
+
+    Every plan takes exact complements of one, two and three lengths from the index and packs the rest by best fit. Of the
+    plans for LEAST_GAPS, even and uneven pairs first, that with the fewest sequences is kept; of equal ones the first.
+    """
+    lengths = np.flatnonzero(counts)
+    indexes = [Sums(lengths, capacity, even) for even in (True, False)]
+    plans = (_plan(counts, capacity, index, int(share * capacity)) for share in LEAST_GAPS for index in indexes)
     return min(plans, key=lambda plan: sum(uses for uses, _ in plan))
 
 
-def _plan(counts: np.ndarray, capacity: int, sweeps: tuple[tuple[int, ...], ...]) -> list[tuple[int, list[int]]]:
+def _plan(counts: np.ndarray, capacity: int, index: Sums, least: int) -> list[tuple[int, list[int]]]:
     have = np.array(counts, dtype=np.int64)
     patterns: list[tuple[int, list[int]]] = []
     if have[capacity]:
         patterns.append((int(have[capacity]), [capacity]))
         have[capacity] = 0
-    for arities in sweeps:
-        for length in range(capacity - 1, 0, -1):
-            while have[length] > 0:
-                have[length] -= 1  # one is placed; the rest of its length may complete it
-                found = _combination(have, capacity - length, length, arities)
-                have[length] += 1
-                if found is None:
-                    break
-                pattern = [length, *found]
-                uses = min(int(have[x]) // pattern.count(x) for x in set(pattern))
-                for x in pattern:
-                    have[x] -= uses
-                patterns.append((uses, pattern))
+
+    def fill(length: int, find) -> None:
+        while have[length] > 0:
+            have[length] -= 1  # one is placed; the rest of its length may complete it
+            found = find(have, capacity - length)
+            have[length] += 1
+            if found is None:
+                return
+            pattern = [length, *found]
+            uses = min(int(have[x]) // pattern.count(x) for x in set(pattern))
+            for x in pattern:
+                have[x] -= uses
+            patterns.append((uses, pattern))
+
+    for length in range(capacity - 1, (capacity - 1) // 2, -1):  # the longer of two complements
+        fill(length, index.single)
+    for find in (index.pair, index.triple):
+        for length in range((capacity + 1) // 2, capacity - least):
+            fill(length, find)
     return patterns + _best_fit(have, capacity)
 
 
