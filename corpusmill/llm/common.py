@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
-import os
+import shutil
 import tempfile
 import uuid
+import weakref
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +17,10 @@ BATCH_ROWS = 1000
 
 
 def shared_root(spark: SparkSession) -> str:
-    """URI of the folder shared by driver and executors: spark.checkpoint.dir, or a local one set here where it is unset."""
+    """URI of the folder shared by driver and executors: spark.checkpoint.dir, in the default file system where it names none.
+
+    Where it is unset, a local master gets a folder of its own; on a cluster that is an error, as no machine sees another's disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -23,21 +28,45 @@ def shared_root(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
+        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
-    return root if "://" in root or root.startswith("file:") else "file://" + os.path.abspath(root)
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.makeQualified(path).toString()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder, deleted when the driver ends."""
+    made = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(made)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return made
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives a lost executor."""
+    """Write df to the shared folder and read it back: cuts lineage and survives a lost executor. discard() deletes it early."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _written[id(back)] = path
+    weakref.finalize(back, _written.pop, id(back), None)
+    return back
+
+
+#: id of a frame that materialize gave -> its path.
+_written: dict[int, str] = {}
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of written tables that nothing reads any more."""
+    for df in frames:
+        if made := _written.pop(id(df), None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(made)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

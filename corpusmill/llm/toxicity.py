@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bounded_batches, materialize
+from .common import arrow_rows, bounded_batches, discard, materialize
 
 #: Labelled rows that are fitted on at most; features of a category at most; rows of a feature at least; its chi-square at least.
 SAMPLE, FEATURES, ROWS, CHI2 = 12_000, 400, 5, 25.0
@@ -84,15 +85,15 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def _group(words: set[str]) -> str:
-    """What near copies share: a text's longest words. One text of each group is fitted on, so that a copied label counts once."""
+    """What near copies share: a text's longest words. Texts of a group are in one fold, so that no copy of a held-out text is fitted on."""
     return " ".join(sorted(words, key=lambda w: (-len(w), w))[:3])
 
 
-def train(rows: Sequence[np.ndarray], labels: Sequence[tuple[int, ...]], vocabularies: dict[str, list[str]]) -> list[Link]:
-    """rows: places in the sorted union of the vocabularies; labels: 0/1 per category; vocabularies: each category's features, in chain order."""
+def train(rows: Sequence[np.ndarray], labels: Sequence[tuple[int, ...]], vocabularies: dict[str, list[str]], folds: Sequence[int]) -> list[Link]:
+    """rows: places in the sorted union of the vocabularies; labels: 0/1 per category; vocabularies: each category's features, in chain order; folds: 0 to FOLDS - 1."""
     union = sorted(set().union(*vocabularies.values()))
     y = np.array(labels, dtype=np.float32).reshape(len(rows), len(vocabularies))
-    fold = np.random.default_rng(SEED).permutation(len(rows)) % FOLDS
+    fold = np.array(folds, dtype=np.int64)
     before, chain = np.zeros((len(rows), 0), np.float32), []
     for k, (name, vocabulary) in enumerate(vocabularies.items()):
         column = np.full(len(union) + 1, -1)
@@ -125,9 +126,12 @@ def predict(chain: Sequence[Link], words: set[str]) -> list[float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> list[Link]:
-    """Train on at most `sample` rows of labels, the least by a hash of the id; rows with a null label or no document are left out.
+    """Train on at most `sample` labelled rows, those with the least hash of the id; rows with a null label, a null id or no document are left out.
 
-    Features are chosen by their chi-square with each category, counted by Spark; the driver gets the chosen ones of each row.
+    Each of these rows is fitted on: a document or a label that stands twice counts twice, and rows that contradict each other
+    all count; only where repeated ids make more than `sample` of them, as many are kept by the hash of the row. Without rows
+    the models give one half, rows of one class its smoothed share. Features are chosen by their chi-square with each
+    category, counted by Spark; the driver gets the chosen ones of each row.
     """
     names = list(categories)
     marked = labels.select(F.col(id_col).alias("_id"), *[c.cast("int").alias(n) for n, c in categories.items()]).dropna()
@@ -135,16 +139,17 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
     share = int(min(1.0, 1.5 * sample / max(n, 1)) * (1 << 30))
     drawn = marked.withColumn("_h", F.xxhash64("_id")).where(F.pmod("_h", F.lit(1 << 30)) <= share).orderBy("_h").limit(sample)  # sample rows at most
     bounded_batches(docs.sparkSession, 500)
-    out = pa.schema([("near", pa.string()), ("features", pa.list_(pa.string())), *[(c, pa.int32()) for c in names]])
+    out = pa.schema([("fold", pa.int32()), ("features", pa.list_(pa.string())), *[(c, pa.int32()) for c in names]])
 
     def features(batches):
         for batch in batches:
             found = [features_of(t) for t in batch.column(0).to_pylist()]
-            yield arrow_rows(out, [[_group(f) for f in found], [sorted(f) for f in found], *[batch.column(k + 1) for k in range(len(names))]])
+            yield arrow_rows(out, [[xxhash.xxh64_intdigest(_group(f), SEED) % FOLDS for f in found], [sorted(f) for f in found], *[batch.column(k + 1) for k in range(len(names))]])
 
     joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(drawn), "_id").select("_text", *names)
-    made = joined.mapInArrow(features, "near string, features array<string>, " + ", ".join(f"{c} int" for c in names))
-    rows = materialize(made.groupBy("near").agg(F.min(F.struct(*names, "features")).alias("r")).select("r.*"), "labelled")
+    rows = materialize(joined.mapInArrow(features, "fold int, features array<string>, " + ", ".join(f"{c} int" for c in names)), "labelled")
+    if rows.count() > sample:
+        rows = materialize(rows.orderBy(F.xxhash64(*rows.columns)).limit(sample), "labelled")
     total = rows.agg(F.count(F.lit(1)), *[F.sum(c) for c in names]).first()
     counts = rows.select(*names, F.explode("features").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in names]).where(F.col("n") >= ROWS)
     counts = materialize(counts, "counts")
@@ -156,22 +161,23 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
         best = counts.select("w", chi2.alias("s")).where(F.col("s") >= CHI2).orderBy(F.desc("s"), "w").limit(FEATURES)
         vocabularies[name] = [r.w for r in best.collect()]
     place = {w: i for i, w in enumerate(sorted(set().union(*vocabularies.values())))}
-    packed = pa.schema([("places", pa.binary()), *[(c, pa.int32()) for c in names]])
+    packed = pa.schema([("places", pa.binary()), ("fold", pa.int32()), *[(c, pa.int32()) for c in names]])
 
     def pack(batches):
         for batch in batches:
-            found = [np.array([place[w] for w in f if w in place], dtype="<i4").tobytes() for f in batch.column(len(names)).to_pylist()]
-            yield arrow_rows(packed, [found, *batch.columns[: len(names)]])
+            found = [np.array([place[w] for w in f if w in place], dtype="<i4").tobytes() for f in batch.column(0).to_pylist()]
+            yield arrow_rows(packed, [found, *batch.columns[1:]])
 
-    kept = rows.select(*names, "features").mapInArrow(pack, "places binary, " + ", ".join(f"{c} int" for c in names))
-    found = sorted((bytes(r.places), tuple(r)[1:]) for r in kept.collect())
-    return train([np.frombuffer(p, dtype="<i4") for p, _ in found], [c for _, c in found], vocabularies)
+    kept = rows.select("features", "fold", *names).mapInArrow(pack, "places binary, fold int, " + ", ".join(f"{c} int" for c in names))
+    found = sorted((bytes(r.places), *tuple(r)[1:]) for r in kept.collect())  # sample rows at most, of FEATURES places a category
+    discard(rows, counts)
+    return train([np.frombuffer(r[0], dtype="<i4") for r in found], [r[2:] for r in found], vocabularies, [r[1] for r in found])
 
 
 def score(docs: DataFrame, chain: list[Link], text_col: str = "text") -> DataFrame:
     """docs and p_<category> and is_<category> for each link. Null and empty texts have no words: the models' base rates.
 
-    Extra columns pass through unless they have one of the new names: those are replaced.
+    Whole texts are read. Repeated rows get equal scores; an empty table gives no rows. Extra columns pass through unless they have one of the new names: those are replaced.
     """
     bounded_batches(docs.sparkSession, 500)
     new = [f"{k}_{link.name}" for link in chain for k in ("p", "is")]
