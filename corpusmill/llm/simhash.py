@@ -43,12 +43,8 @@ def shingles(tokens: list[bytes], words: int) -> np.ndarray:
     return np.array([digest(line[s:e], SEED) for s, e in zip(starts[: len(tokens) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], dtype=np.uint64)
 
 
-def fingerprint(text: bytes | None, words: int = 3) -> int:
-    """64-bit SimHash of lower-cased (A-Z) UTF-8 text: bit set if in over half the shingle hashes."""
-    tokens = (text or b"").lower().split()  # bytes split at exactly [\x20\x09-\x0D]
-    if not tokens:
-        return 0
-    h = shingles(tokens, words)
+def vote(h: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(h), 65536):  # bounds memory for very long texts
         bits = np.unpackbits(h[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -56,6 +52,12 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, words: int = 3) -> int:
+    """64-bit SimHash of lower-cased (A-Z) UTF-8 text: bit set if in over half the shingle hashes."""
+    tokens = (text or b"").lower().split()  # bytes split at exactly [\x20\x09-\x0D]
+    return vote(shingles(tokens, words)) if tokens else 0
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
