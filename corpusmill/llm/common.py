@@ -9,9 +9,13 @@ import tempfile
 import uuid
 import weakref
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Bits of a bit table: 2 MB, whatever the data's size.
+TABLE_BITS = 24
 #: Rows in one Arrow batch: bounds a Python worker's memory where texts are long.
 BATCH_ROWS = 1000
 
@@ -82,6 +86,23 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def bit_table(hashes: DataFrame):
+    """Broadcast of a bit for each value of the top TABLE_BITS of 64-bit hashes(h), as numpy words: passes() screens by it."""
+    word = F.shiftrightunsigned("h", 64 - TABLE_BITS + 6)
+    bit = F.shiftrightunsigned("h", 64 - TABLE_BITS).bitwiseAND(F.lit(63)).cast("int")
+    found = hashes.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("m")).collect()  # 2**18 rows at most
+    bits = np.zeros(1 << (TABLE_BITS - 6), np.uint64)
+    for r in found:
+        bits[r.w] = r.m & 0xFFFFFFFFFFFFFFFF
+    return hashes.sparkSession.sparkContext.broadcast(bits)
+
+
+def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A flag for each hash: false only where it is not in the table."""
+    place = h >> np.uint64(64 - TABLE_BITS)
+    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
 def open_fs(uri: str):
     """(pyarrow file system, path) of a URI: local, HDFS or object store."""
     from pyarrow import fs

@@ -16,12 +16,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bounded_batches, materialize, release
+from .common import arrow_rows, bit_table, bounded_batches, materialize, passes, release
 
 #: Words of a seed; share of an item's n-grams that may seed; alignment scores; least score as a share of the best possible.
 N, RARE, MATCH, MISMATCH, GAP, LEAST = 3, 0.75, 2, -1, 1, 0.5
-#: Bits of the screen: 2 MB, whatever the benchmark's size.
-SCREEN_BITS = 24
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 _find = re.compile(r"\w+").findall
@@ -46,22 +44,6 @@ def _words(text) -> list[str]:
     return _find((text or "").lower())
 
 
-def _screen(grams: DataFrame):
-    """A bit for each value of a hash's top SCREEN_BITS, as numpy words; grams(h)."""
-    word = F.shiftrightunsigned("h", 64 - SCREEN_BITS + 6)
-    bit = F.shiftrightunsigned("h", 64 - SCREEN_BITS).bitwiseAND(F.lit(63)).cast("int")
-    found = grams.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("m")).collect()  # 2**18 rows at most
-    bits = np.zeros(1 << (SCREEN_BITS - 6), np.uint64)
-    for r in found:
-        bits[r.w] = r.m & 0xFFFFFFFFFFFFFFFF
-    return grams.sparkSession.sparkContext.broadcast(bits)
-
-
-def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    place = h >> np.uint64(64 - SCREEN_BITS)
-    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-
-
 def item_grams(benchmark: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(item_id, h) distinct; items of fewer than n words have none."""
     out = pa.schema([("item_id", pa.int64()), ("h", pa.int64()), ("words", pa.int32())])
@@ -112,7 +94,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: float
     bounded_batches(spark, 500)
     grams = materialize(item_grams(benchmark, n, item_col, item_text_col).repartition(4, "h"), "grams")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    screen = _screen(grams.select("h"))
+    screen = bit_table(grams.select("h"))
     counted = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
     def count(batches):
@@ -120,7 +102,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: float
             found = [np.zeros(0, np.uint64)]
             for text in batch.column(1).to_pylist():
                 h = gram_hashes(word_hashes(_words(text)), n)
-                found.append(h[_passes(screen.value, h)])
+                found.append(h[passes(screen.value, h)])
             values, counts = np.unique(np.concatenate(found), return_counts=True)
             yield arrow_rows(counted, [values.view(np.int64), counts.astype(np.int64)])
 
@@ -130,7 +112,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: float
     ranked = known.withColumn("place", F.row_number().over(order)).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
     seeds = materialize(ranked.where(F.col("place") <= F.ceil(F.col("all") * rare)).select("item_id", "h"), "seeds")
     pad = int(grams.agg(F.coalesce(F.max("words"), F.lit(0))).first()[0])
-    seed_screen = _screen(seeds.select("h"))
+    seed_screen = bit_table(seeds.select("h"))
     release(spark)
     made = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("passage", pa.string()), ("hits", pa.list_(pa.int64()))])
 
@@ -140,7 +122,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: float
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = _words(text)
                 h = gram_hashes(word_hashes(words), n)
-                at = np.flatnonzero(_passes(seed_screen.value, h))
+                at = np.flatnonzero(passes(seed_screen.value, h))
                 if not len(at):
                     continue
                 for group in np.split(at, np.flatnonzero(np.diff(at) > pad) + 1):
