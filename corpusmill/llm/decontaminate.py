@@ -45,20 +45,22 @@ def _words(text) -> list[str]:
 
 
 def item_grams(benchmark: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, h) distinct; items of fewer than n words have none."""
-    out = pa.schema([("item_id", pa.int64()), ("h", pa.int64()), ("words", pa.int32())])
+    """(item_id, h, size, words) distinct: an item's n-grams, or of one of fewer words the whole item, with the words of a gram and of the item."""
+    out = pa.schema([("item_id", pa.int64()), ("h", pa.int64()), ("size", pa.int32()), ("words", pa.int32())])
 
     def each(batches):
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = _words(text)
-                rows += [(item, h, len(words)) for h in np.unique(gram_hashes(word_hashes(words), n)).view(np.int64).tolist()]
+                size = min(n, len(words))
+                found = np.unique(gram_hashes(word_hashes(words), size)) if size else []
+                rows += [(item, int(np.int64(np.uint64(h).view(np.int64))), size, len(words)) for h in found]
             if rows:
                 yield arrow_rows(out, list(zip(*rows, strict=True)))
 
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id is not null")
-    return rows.mapInArrow(each, "item_id long, h long, words int")
+    return rows.mapInArrow(each, "item_id long, h long, size int, words int").distinct()
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -86,14 +88,17 @@ def best_alignment(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, i
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: float = RARE, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word): each document with a passage that aligns with an item, best passage of each pair.
 
-    Words are lower-cased runs of letters, digits and underscores. Null and short texts match nothing; items of fewer than n
-    words, or null, are not searched for. Rows with a null id are searched and have a null doc_id; repeated rows give one pair.
+    Words are lower-cased runs of letters, digits and underscores. Null and empty texts match nothing; an item of fewer than n
+    words is found where it stands whole, a null or empty one nowhere. Rows with a null id are searched and have a null doc_id; repeated rows give one pair.
     Extra columns are ignored; an empty table on either side gives no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark, 500)
-    grams = materialize(item_grams(benchmark, n, item_col, item_text_col).repartition(4, "h"), "grams")
+    grams = materialize(item_grams(benchmark, n, item_col, item_text_col), "grams")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # Items of like length are a class: so far apart may hits of one passage lie, and so many words are cut around them.
+    kinds = grams.groupBy("size", F.expr("cast(ceil(log2(words)) as int)").alias("kind")).agg(F.max("words").alias("pad")).collect()  # a row for each doubling of the words
+    sizes = sorted({r["size"] for r in kinds})
     screen = bit_table(grams.select("h"))
     counted = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
@@ -101,8 +106,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: float
         for batch in batches:
             found = [np.zeros(0, np.uint64)]
             for text in batch.column(1).to_pylist():
-                h = gram_hashes(word_hashes(_words(text)), n)
-                found.append(h[passes(screen.value, h)])
+                hashes = word_hashes(_words(text))
+                for size in sizes:
+                    h = gram_hashes(hashes, size)
+                    found.append(h[passes(screen.value, h)])
             values, counts = np.unique(np.concatenate(found), return_counts=True)
             yield arrow_rows(counted, [values.view(np.int64), counts.astype(np.int64)])
 
@@ -110,31 +117,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: float
     known = grams.join(counts, "h")
     order = Window.partitionBy("item_id").orderBy("n", "h")
     ranked = known.withColumn("place", F.row_number().over(order)).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
-    seeds = materialize(ranked.where(F.col("place") <= F.ceil(F.col("all") * rare)).select("item_id", "h"), "seeds")
-    pad = int(grams.agg(F.coalesce(F.max("words"), F.lit(0))).first()[0])
-    seed_screen = bit_table(seeds.select("h"))
+    seeds = ranked.where(F.col("place") <= F.ceil(F.col("all") * rare)).select("item_id", "h", "size", F.expr("cast(ceil(log2(words)) as int)").alias("kind"))
+    seeds = materialize(seeds, "seeds")
+    screens = [(r["size"], r.kind, r.pad, bit_table(seeds.where((F.col("size") == r["size"]) & (F.col("kind") == r.kind)).select("h"))) for r in kinds]
     release(spark)
-    made = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("passage", pa.string()), ("hits", pa.list_(pa.int64()))])
+    made = pa.schema([("doc_id", pa.int64()), ("kind", pa.int32()), ("start", pa.int64()), ("passage", pa.string()), ("hits", pa.list_(pa.int64()))])
 
     def cut(batches):
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = _words(text)
-                h = gram_hashes(word_hashes(words), n)
-                at = np.flatnonzero(passes(seed_screen.value, h))
-                if not len(at):
-                    continue
-                for group in np.split(at, np.flatnonzero(np.diff(at) > pad) + 1):
-                    a, b = max(int(group[0]) - pad, 0), int(group[-1]) + n + pad
-                    out.append((doc_id, a, " ".join(words[a:b]), np.unique(h[group]).view(np.int64).tolist()))
+                hashes = word_hashes(words)
+                grams_ = {size: gram_hashes(hashes, size) for size in sizes}
+                for size, kind, pad, bits in screens:
+                    h = grams_[size]
+                    at = np.flatnonzero(passes(bits.value, h))
+                    if not len(at):
+                        continue
+                    for group in np.split(at, np.flatnonzero(np.diff(at) > pad) + 1):
+                        a, b = max(int(group[0]) - pad, 0), int(group[-1]) + size + pad
+                        out.append((doc_id, kind, a, " ".join(words[a:b]), np.unique(h[group]).view(np.int64).tolist()))
             if out:
                 yield arrow_rows(made, list(zip(*out, strict=True)))
 
-    passages = rows.mapInArrow(cut, "doc_id long, start long, passage string, hits array<long>")
+    passages = rows.mapInArrow(cut, "doc_id long, kind int, start long, passage string, hits array<long>")
     passages = materialize(passages.withColumn("pid", F.monotonically_increasing_id()), "passages")
     release(spark)
-    pairs = passages.select("pid", F.explode("hits").alias("h")).join(seeds, "h").select("pid", "item_id").distinct()
+    pairs = passages.select("pid", "kind", F.explode("hits").alias("h")).join(seeds, ["h", "kind"]).select("pid", "item_id").distinct()
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("item")).dropDuplicates(["item_id", "item"])
     joined = pairs.join(passages.select("pid", "doc_id", "start", "passage"), "pid").join(items, "item_id").select("doc_id", "item_id", "start", "passage", "item")
     scored = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
