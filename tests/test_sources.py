@@ -105,7 +105,7 @@ def test_journal_stream_is_exactly_once(spark, tmp_path):
     folder, ledger, check = tmp_path / "in", str(tmp_path / "ledger"), str(tmp_path / "check")
     folder.mkdir()
     (folder / "a.jsonl").write_text(line(1) + line(2) + line(1))
-    run = lambda: journal.consume(journal.journal_stream(spark, str(folder), "src"), ledger, check, "j", "t").awaitTermination()
+    run = lambda: journal.consume(journal.journal_stream(spark, str(folder)), ledger, check, "src", "t").awaitTermination()
     run()
     assert journal.read_ledger(spark, ledger).count() == 2
     (folder / "b.jsonl").write_text(line(2) + line(3) + line(1, extra=9))
@@ -117,6 +117,43 @@ def test_journal_stream_is_exactly_once(spark, tmp_path):
     assert sorted(r.verdict for r in skips.collect()) == ["replay", "replay", "uid_conflict"]
 
 
+def run_journal(spark, root, size=None):
+    stream = journal.journal_stream(spark, str(root / "in"))
+    journal.consume(stream, str(root / "ledger"), str(root / "check"), "src", "t", size).awaitTermination()
+
+
+def test_the_first_line_of_a_statement_is_taken(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    spaced = lambda s: json.dumps({"candidate": {"statement": s}}) + "\n"
+    (tmp_path / "in/a.jsonl").write_text(spaced("zeta one") + spaced("Zeta  ONE") + spaced("zeta one") + json.dumps({"candidate": {}}) + "\n\n")
+    run_journal(spark, tmp_path)
+    assert [(r.journal_line, r.source_journal) for r in journal.read_ledger(spark, str(tmp_path / "ledger")).collect()] == [(1, "src")]
+    skips = spark.read.parquet(f"{tmp_path}/ledger-skips/batch=*").orderBy("line_no").collect()
+    assert [(r.line_no, r.verdict) for r in skips] == [(2, "stmt_conflict"), (3, "replay"), (4, "no statement")]
+
+
+def test_a_broken_line_stops_the_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.jsonl").write_text(line(1) + "[1]\n")
+    with pytest.raises(Exception, match="not a JSON object"):
+        run_journal(spark, tmp_path)
+    assert journal.read_ledger(spark, str(tmp_path / "ledger")).count() == 0
+
+
+def test_slices_of_the_stream_are_exact(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    ledger = str(tmp_path / "ledger")
+    for k, (lines_, entries, held) in enumerate([([1, 2, 3, 4, 5], {"slice-1": 3}, [4, 5]), ([5, 1], {"slice-1": 3}, [4, 5]), ([6, 7], {"slice-1": 3, "slice-2": 3}, [7])]):
+        (tmp_path / f"in/{k}.jsonl").write_text("".join(line(x) for x in lines_))
+        run_journal(spark, tmp_path, 3)
+        got = journal.read_ledger(spark, ledger)
+        assert {r.batch_label: r["count"] for r in got.groupBy("batch_label").count().collect()} == entries
+        want = {r.uid for r in journal.identified(lines.read_lines(spark, str(tmp_path / "in")), "src").where(F.col("statement").isin([f"s{x}" for x in held])).collect()}
+        assert {r.uid for r in journal.held_rows(spark, ledger).collect()} == want
+    skips = spark.read.parquet(f"{ledger}-skips/batch=*")
+    assert [r.verdict for r in skips.collect()] == ["replay", "replay"]
+
+
 def test_windows_need_a_zoned_timestamp(spark, tmp_path):
     src = "/root/testdata/sf0.001/events.parquet"
     schema = spark.read.parquet(src).schema
