@@ -1,7 +1,7 @@
 """Every registered query of the engine with its equivalent SQL.
 
-A key begins with the identifier of the operator that it shows. `value % n` filters in this module belong to the stand-in
-tables' definitions (which event is which kind of row), not to the operators.
+A key begins with the identifier of the operator that it shows. Every query reads its whole tables and whole texts; remainders of
+ids only tell rows of one kind from rows of another.
 """
 
 from __future__ import annotations
@@ -120,12 +120,12 @@ def _(spark, sf):
 
 @query(
     "w3_paper_pool",
-    "WITH p AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE 'l' || (doc_id % 400) END AS link, substr(text, 1, 12) AS title FROM documents), "
+    "WITH p AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE 'l' || (doc_id % 400) END AS link, text AS title FROM documents), "
     "a AS (SELECT *, trim(regexp_replace(lower(coalesce(title, '')), '" + WS + "', ' ', 'g'), ' ') AS t FROM p WHERE link IS NOT NULL QUALIFY row_number() OVER (PARTITION BY link ORDER BY doc_id) = 1) "
     "SELECT doc_id, link FROM a QUALIFY row_number() OVER (PARTITION BY CASE WHEN t = '' THEN chr(1) || link ELSE t END ORDER BY doc_id) = 1",
 )
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 10 != 0, F.concat(F.lit("l"), (F.col("doc_id") % 400).cast("string"))).alias("link"), F.substring("text", 1, 12).alias("title"))
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 10 != 0, F.concat(F.lit("l"), (F.col("doc_id") % 400).cast("string"))).alias("link"), F.col("text").alias("title"))
     return normalise.paper_pool(d, "doc_id").select("doc_id", "link")
 
 
@@ -213,9 +213,9 @@ def _(spark, sf):
     return _tally(spark, sf).select("uid", rollouts.in_band(F.col("pass_at_k")).alias("in_band"))
 
 
-@query("f3_truth_garbage", "SELECT doc_id, regexp_matches(text, 'mathrm|mathbb|mathcal|mathbf|mathsf|operatorname|Bigl|Bigr|bigl|bigr|widetilde|widehat|cdots|ldots|efsub|displaystyle|text|boldsymbol|mathfrak|mathscr') AS junk FROM documents")
+@query("f3_truth_garbage", with_("fx") + "SELECT doc_id, regexp_matches(text, 'mathrm|mathbb|mathcal|mathbf|mathsf|operatorname|Bigl|Bigr|bigl|bigr|widetilde|widehat|cdots|ldots|efsub|displaystyle|text|boldsymbol|mathfrak|mathscr') AS junk FROM fx")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.truth_garbage(F.col("text")).alias("junk"))
+    return S.statements(spark, sf).select("doc_id", text.truth_garbage(F.col("text")).alias("junk"))
 
 
 @query(
@@ -388,11 +388,11 @@ _N = "coalesce(len(regexp_extract_all(coalesce(text, ''), '{}')), 0)"
 
 
 def _counts_sql(patterns: dict[str, str], tail: str = "") -> str:
-    return "SELECT doc_id, " + ", ".join(f"{_N.replace('{}', p.replace(chr(39), chr(39) * 2))} AS {k}" for k, p in patterns.items()) + f" FROM documents{tail}"
+    return with_("fx") + "SELECT doc_id, " + ", ".join(f"{_N.replace('{}', p.replace(chr(39), chr(39) * 2))} AS {k}" for k, p in patterns.items()) + f" FROM fx{tail}"
 
 
 def _counts(spark, sf, patterns: dict[str, str], scan) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", scan(F.col("text")).alias("m"))
+    d = S.statements(spark, sf).select("doc_id", scan(F.col("text")).alias("m"))
     return d.select("doc_id", *[F.coalesce(F.col("m")[k], F.lit(0)).cast("long").alias(k) for k in patterns])
 
 
@@ -406,34 +406,47 @@ def _(spark, sf):
     return _counts(spark, sf, text.STRUCTURAL, text.structural_hits)
 
 
-_RE2_DANGLING = {k: p for k, p in text.DANGLING.items() if "(?=" not in p}
+#: RE2 has no lookahead: what follows a match is matched, too, and no match begins there.
+_RE2_DANGLING = {k: p.replace(r"(?=\s*[.\n]|\s*$)", r"\s*(?:[.\n]|$)") for k, p in text.DANGLING.items()}
 
 
 @query("x21_dangling_counts", _counts_sql(_RE2_DANGLING))
 def _(spark, sf):
-    return _counts(spark, sf, _RE2_DANGLING, text.dangling_counts)
+    return _counts(spark, sf, text.DANGLING, text.dangling_counts)
 
 
-@query("x21_dangling_scan")
+@query("x21_dangling_scan", f"WITH c AS ({_counts_sql(_RE2_DANGLING)}) SELECT doc_id, pattern, hits FROM (UNPIVOT c ON {', '.join(_RE2_DANGLING)} INTO NAME pattern VALUE hits) WHERE hits > 0")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.explode(text.dangling_scan("text")).alias("h"))
-    return d.select("doc_id", "h.pattern", "h.snippet")
+    d = S.statements(spark, sf).select("doc_id", F.explode(text.dangling_scan("text")).alias("h"))
+    return d.groupBy("doc_id", "h.pattern").agg(F.count(F.lit(1)).alias("hits"))
 
 
-@query("x26_soft_context", "SELECT doc_id, " + _N.replace("{}", text.EQUATION_NUMBER) + " AS bare_equation_number FROM documents")
+_PHRASES = _N.replace("{}", text.CONTEXT_PHRASES)
+
+
+@query("x26_soft_context", with_("fx") + f"SELECT doc_id, {_N.replace('{}', text.EQUATION_NUMBER)} AS bare_equation_number, {_PHRASES} AS phrases, CASE WHEN contains(lower(text), 'shown below') THEN 1 ELSE 0 END AS shown_below FROM fx")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", text.soft_context(F.col("text")).alias("m"))
-    return d.select("doc_id", F.coalesce(F.col("m")["bare_equation_number"], F.lit(0)).cast("long").alias("bare_equation_number"))
+    d = S.statements(spark, sf).select("doc_id", text.soft_context(F.col("text")).alias("m"))
+    count = lambda k: F.coalesce(F.col("m")[k], F.lit(0)).cast("long")
+    total = F.aggregate(F.map_values("m"), F.lit(0), lambda a, v: a + v).cast("long")
+    return d.select("doc_id", count("bare_equation_number").alias("bare_equation_number"), (total - count("bare_equation_number")).alias("phrases"), count("shown below").cast("int").alias("shown_below"))
 
 
-@query("x28_context_lint")
+@query(
+    "x28_context_lint",
+    with_("fx") + f""", c AS (SELECT doc_id, {_N.replace('{}', text.MISSING_CONTEXT)} AS missing_context_placeholder, {_N.replace('{}', text.SOURCE_LOCAL)} AS source_local_language,
+CAST(doc_id % {len(S.PHRASES)} = 7 AS INTEGER) AS defines_then_asks, CAST(contains(text, 'Plain words only.') AS INTEGER) AS verbatim_formula_recall FROM fx)
+SELECT doc_id, lint, CAST(hits AS INTEGER) AS hits FROM (UNPIVOT (SELECT doc_id, CAST(missing_context_placeholder AS INTEGER) AS missing_context_placeholder, CAST(source_local_language AS INTEGER) AS source_local_language, defines_then_asks, verbatim_formula_recall FROM c)
+ON missing_context_placeholder, source_local_language, defines_then_asks, verbatim_formula_recall INTO NAME lint VALUE hits) WHERE hits > 0""",
+)
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(text.context_lint(F.col("text"), F.col("lang"))).alias("lint", "hits"))
+    d = S.statements(spark, sf).select("doc_id", F.explode(text.context_lint(F.col("text"), F.lit("Plain  words only."))).alias("lint", "found"))
+    return d.select("doc_id", "lint", F.size("found").alias("hits"))
 
 
-@query("x1_strip_think", "SELECT doc_id, regexp_replace(regexp_replace('<think>' || lang || '</think> ' || substr(text, 1, 50), '(?s)<think>.*?</think>', '', 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM documents")
+@query("x1_strip_think", "SELECT doc_id, regexp_replace(regexp_replace('<think>' || lang || '</think> ' || text, '(?s)<think>.*?</think>', '', 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM documents")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.strip_think(F.concat(F.lit("<think>"), "lang", F.lit("</think> "), F.substring("text", 1, 50))).alias("t"))
+    return table(spark, sf, "documents").select("doc_id", text.strip_think(F.concat(F.lit("<think>"), "lang", F.lit("</think> "), "text")).alias("t"))
 
 
 @query("x4_candidate", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '\\frac{' || doc_id || '}{2}' WHEN doc_id % 3 = 1 THEN 'b' || doc_id ELSE 'forty ' || doc_id END AS candidate FROM documents")
@@ -443,9 +456,15 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.extract_candidate(answer).alias("candidate"))
 
 
-@query("x12_clean_tex", "SELECT doc_id, 'Let A. ' || lang || ' b, c' AS t FROM documents")
+def _clean_sql(raw: str) -> str:
+    for pattern in (text.LABEL, text.CITE, text.REF, r"\{\s*\}", r"^\s*\[[^\]]*\]"):
+        raw = f"regexp_replace({raw}, '{pattern}', '', 'g')"
+    return f"trim(regexp_replace(regexp_replace(replace({raw}, '~', ' '), '\\s+([.,;:])', '\\1', 'g'), '{WS}', ' ', 'g'), ' ')"
+
+
+@query("x12_clean_tex", "SELECT doc_id, " + _clean_sql("' [Opt] Let~A\\label{q} . ' || text || '\\cite[p]{z} b\\ref{a,b} , {} c '") + " AS t FROM documents")
 def _(spark, sf):
-    raw = F.concat(F.lit(" [Opt] Let~A\\label{q} . "), "lang", F.lit("\\cite[p]{z} b\\ref{a,b} , {} c "))
+    raw = F.concat(F.lit(" [Opt] Let~A\\label{q} . "), "text", F.lit("\\cite[p]{z} b\\ref{a,b} , {} c "))
     return table(spark, sf, "documents").select("doc_id", text.clean_tex(raw).alias("t"))
 
 
@@ -479,13 +498,13 @@ def _(spark, sf):
 @query(
     "a27_copy_fraction",
     "WITH w AS (SELECT conv_id, turn, list_filter(string_split(trim(regexp_replace(coalesce(text, ''), '" + WS + "', ' ', 'g'), ' '), ' '), lambda x: x <> '') AS ws FROM conversations), "
-    "g AS (SELECT conv_id, turn, CASE WHEN len(ws) >= 2 THEN list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) ELSE [] END AS gs FROM w) "
+    "g AS (SELECT conv_id, turn, CASE WHEN len(ws) >= 6 THEN list_distinct(list_transform(range(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 5], ' '))) ELSE [] END AS gs FROM w) "
     "SELECT a.conv_id, a.turn, CASE WHEN len(a.gs) = 0 THEN 0.0 ELSE round(len(list_intersect(a.gs, b.gs)) / len(a.gs), 6) END AS copied FROM g a JOIN g b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1",
 )
 def _(spark, sf):
     c = table(spark, sf, "conversations")
     b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
-    return c.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(text.copy_fraction(F.col("text"), F.col("reply"), 2), 6).alias("copied"))
+    return c.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(text.copy_fraction(F.col("text"), F.col("reply")), 6).alias("copied"))
 
 
 @query("x27_passk_warning", with_("ro", "ta") + "SELECT uid, round(n_degenerate / n, 6) AS degenerate_share, CASE WHEN n_correct + n_wrong = 0 THEN 'no committed answers in pass@k trials' WHEN n_degenerate / n >= 0.5 THEN 'high degenerate share in pass@k trials' END AS warning FROM ta")
@@ -494,11 +513,15 @@ def _(spark, sf):
     return _tally(spark, sf).select("uid", w["degenerate_share"].alias("degenerate_share"), w["warning"].alias("warning"))
 
 
-@query("x38_divergence", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'match' WHEN doc_id % 3 = 1 THEN 'prefix' ELSE 'divergence' END AS kind, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 5 END AS at FROM documents")
+@query(
+    "x38_divergence",
+    with_("fx") + "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'match' WHEN doc_id % 3 = 1 THEN 'prefix' ELSE 'divergence' END AS kind, CASE WHEN doc_id % 3 = 1 THEN length(text) WHEN doc_id % 3 = 2 THEN length(text) - 1 END AS at FROM fx",
+)
 def _(spark, sf):
-    other = F.when(F.col("doc_id") % 3 == 0, "abcdef").when(F.col("doc_id") % 3 == 1, "abcde").otherwise("abcdeXY")
-    out = text.text_divergence(F.lit("abcdef"), other)
-    return table(spark, sf, "documents").select("doc_id", out["kind"].alias("kind"), out["at"].alias("at"))
+    t, m = F.col("text"), F.col("doc_id") % 3
+    other = F.when(m == 0, t).when(m == 1, F.concat(t, F.lit(" more"))).otherwise(F.concat(F.substr(t, F.lit(1), F.length(t) - 1), F.lit("Z")))
+    out = text.text_divergence(t, other)
+    return S.statements(spark, sf).select("doc_id", out["kind"].alias("kind"), out["at"].cast("long").alias("at"))
 
 
 @query("x5_verifier")
@@ -510,16 +533,24 @@ def _(spark, sf):
 
 
 def _papers(spark, sf) -> DataFrame:
-    parts = [F.lit("\\begin{theorem}\\label{t1} Let "), F.substring("text", 1, 60), F.lit(" hold. \\end{theorem}\n\\begin{proof}[Proof of \\ref{t1}] It follows. "), F.substring("text", 1, 220), F.lit("\\end{proof}")]
+    parts = [F.lit("\\begin{theorem}\\label{t1} Let "), "text", F.lit("\n hold. \\end{theorem}\n\\begin{proof}[Proof of \\ref{t1}] It follows. "), "text", F.lit("\n\\end{proof}")]
     return table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("arxiv_id"), F.concat(*parts).alias("tex"))
 
 
-@query("x13_theorems")
+_BODY = "'\\label{t1} Let ' || regexp_replace(text, '%[^\n]*', '', 'g') || chr(10) || ' hold. '"
+
+
+@query("x13_theorems", f"SELECT CAST(doc_id AS VARCHAR) AS arxiv_id, 0 AS pos, 'theorem' AS env_name, {_clean_sql(_BODY)} AS statement, {_BODY} AS body_raw FROM documents WHERE text IS NOT NULL")
 def _(spark, sf):
     return latex.theorem_candidates(_papers(spark, sf))
 
 
-@query("x19_match_proofs")
+@query(
+    "x19_match_proofs",
+    "WITH t AS (SELECT doc_id, length('\\begin{theorem}\\label{t1} Let ' || text || '. hold. \\end{theorem}.') AS start, trim(regexp_replace(' It follows. ' || text || ' ', '" + WS + "', ' ', 'g'), ' ') AS f FROM documents WHERE text IS NOT NULL) "
+    "SELECT 'u' || doc_id AS uid, CAST(start AS INTEGER) AS start, 'proof_of_label' AS method, 'high' AS confidence, false AS multi_proof, "
+    "CASE WHEN length(f) < 40 OR (length(f) < 200 AND regexp_matches(lower(f), 'omitted|left to the reader|standard|follows from|immediate from|see \\[|see \\\\cite')) THEN 'omitted' ELSE 'substantive' END AS proof_class FROM t",
+)
 def _(spark, sf):
     papers = _papers(spark, sf)
     thm = papers.select("arxiv_id", F.explode(latex.theorem_envs("tex")).alias("e")).select(F.concat(F.lit("u"), "arxiv_id").alias("uid"), "arxiv_id", "e.start", "e.end", "e.body_raw")
@@ -584,10 +615,11 @@ def _(spark, sf):
     return _tally(spark, sf).select("uid", splits.slice_order(named).alias("k")).where("k is not null").orderBy("k", "uid")
 
 
-@query("j22_statement_leaks", "SELECT d.doc_id FROM documents d WHERE substr(d.text, 1, 25) IN (SELECT substr(text, 1, 25) FROM benchmark)")
+@query("j22_statement_leaks", "WITH r AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark) SELECT doc_id FROM r WHERE text IN (SELECT text FROM benchmark)")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 25).alias("statement"))
-    return splits.statement_leaks(d, table(spark, sf, "benchmark").select(F.substring("text", 1, 25).alias("statement"))).select("doc_id")
+    held = table(spark, sf, "benchmark")
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("statement")).unionByName(held.select((-1 - F.col("item_id")).alias("doc_id"), F.col("text").alias("statement")))
+    return splits.statement_leaks(d, held.select(F.col("text").alias("statement"))).select("doc_id")
 
 
 @query("j21_prompt_leaks", "SELECT DISTINCT doc_id FROM conv, bench WHERE contains(p, s)".replace("conv", "(SELECT doc_id, text AS p FROM documents)").replace("bench", "(SELECT text AS s FROM benchmark)"))
@@ -660,9 +692,9 @@ def _(spark, sf):
     return table(spark, sf, "labels").select(F.col("doc_id").alias("uid")).union(table(spark, sf, "benchmark").select("item_id")).distinct()
 
 
-@query("g1_without_answer", "SELECT doc_id FROM documents WHERE trim(coalesce(text, '')) = '' OR trim(coalesce(lang, '')) = ''")
+@query("g1_without_answer", "SELECT doc_id FROM documents WHERE trim(coalesce(text, '')) = '' OR doc_id % 9 < 2")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("statement"), F.col("lang").alias("answer"))
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("statement"), F.when(F.col("doc_id") % 9 == 0, "  ").when(F.col("doc_id") % 9 > 1, F.col("lang")).alias("answer"))
     return splits.without_statement_or_answer(d).select("doc_id")
 
 
@@ -737,14 +769,27 @@ def _(spark, sf):
     return _chat(spark, sf).select("uid", "rollout_uid", asked.alias("asked"), F.col("completion")[0]["content"].alias("answered"))
 
 
-@query("g3_not_verified", "SELECT CAST(NULL AS VARCHAR) AS uid WHERE false")
+def _bad_chat(spark, sf) -> DataFrame:
+    """Chat rows, some with an unverified provenance, an empty answer or a message too many."""
+    m = F.col("uid").cast("long") % 10
+    p, q = F.col("provenance"), F.col("prompt")
+    return _chat(spark, sf).withColumns(
+        {
+            "provenance": p.withField("verdict", F.when(m == 0, "wrong").otherwise(p["verdict"])).withField("rollout_uid", F.when(m != 1, p["rollout_uid"])),
+            "completion": F.when(m == 2, F.array(training.message("assistant", F.lit(" ")))).otherwise(F.col("completion")),
+            "prompt": F.when(m == 3, F.concat(q, q)).when(m == 4, F.reverse(q)).otherwise(q),
+        }
+    )
+
+
+@query("g3_not_verified", with_("ro") + "SELECT uid, rollout_uid FROM ro JOIN customer ON uid = CAST(c_custkey AS VARCHAR) WHERE verdict = 'correct' AND c_custkey % 10 < 2")
 def _(spark, sf):
-    return training.not_verified(_chat(spark, sf)).select("uid")
+    return training.not_verified(_bad_chat(spark, sf)).select("uid", "rollout_uid")
 
 
-@query("g5_malformed", "SELECT CAST(NULL AS VARCHAR) AS uid WHERE false")
+@query("g5_malformed", with_("ro") + "SELECT uid, rollout_uid FROM ro JOIN customer ON uid = CAST(c_custkey AS VARCHAR) WHERE verdict = 'correct' AND c_custkey % 10 BETWEEN 2 AND 4")
 def _(spark, sf):
-    return training.malformed(_chat(spark, sf)).select("uid")
+    return training.malformed(_bad_chat(spark, sf)).select("uid", "rollout_uid")
 
 
 @query("g7_hint_in_prompt", with_("ro") + "SELECT uid, rollout_uid FROM ro JOIN customer ON uid = CAST(c_custkey AS VARCHAR) WHERE verdict = 'correct' AND contains(c_name, '7')")
@@ -782,9 +827,13 @@ def _(spark, sf):
     return report.paired_table(*_pairs(spark, sf), group="label").select("label", F.round(ci["lo"], 9).alias("lo"), F.round(ci["hi"], 9).alias("hi"))
 
 
-@query("a18_mcnemar")
+def _choose(n: str, k: str) -> str:
+    return f"list_reduce(list_prepend(1.0::DOUBLE, range(1, {k} + 1)::DOUBLE[]), lambda x, i: x * ({n} - i + 1) / i)"
+
+
+@query("a18_mcnemar", with_("ro", "ta") + f", {_PAIRS} SELECT label, CASE WHEN b + c = 0 THEN 1.0 ELSE round(least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda j: {_choose('(b + c)', 'j')})) / pow(2.0, b + c)), 9) END AS p FROM q")
 def _(spark, sf):
-    return report.paired_table(*_pairs(spark, sf), group="label").select("label", report.mcnemar_exact("b", "c").alias("p"))
+    return report.paired_table(*_pairs(spark, sf), group="label").select("label", F.round(report.mcnemar_exact("b", "c"), 9).alias("p"))
 
 
 @query("a20_repeat_means", "SELECT event_type AS repeat, round(avg(value), 6) AS mean_n_correct FROM events WHERE user_id IN (SELECT item_id FROM benchmark) GROUP BY event_type")
@@ -839,10 +888,10 @@ def _(spark, sf):
 # --- acquisition and lookups ---------------------------------------------------------------------------------------------
 
 
-@query("j4_unseen", "SELECT doc_id FROM documents WHERE source NOT IN (SELECT 'src' || item_id FROM benchmark)")
+@query("j4_unseen", "SELECT doc_id FROM documents WHERE source NOT IN (SELECT 'src' || (item_id % 7) FROM benchmark)")
 def _(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("arxiv_id"))
-    return acquire.unseen(d, table(spark, sf, "benchmark").select(F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("arxiv_id"))).select("doc_id")
+    return acquire.unseen(d, table(spark, sf, "benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 7).cast("string")).alias("arxiv_id"))).select("doc_id")
 
 
 @query("j5_surplus_only", "SELECT doc_id FROM documents WHERE text IS NOT NULL AND text NOT IN (SELECT d.text FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.text IS NOT NULL)")
@@ -923,10 +972,11 @@ def _(spark, sf):
     return s.select("uid", F.round(acquire.judge_score(status, F.col("p"), F.col("n")), 6).alias("score"))
 
 
-@query("r69_handoff_matches", "SELECT true AS same")
+@query("r69_handoff_matches", "SELECT l.k, (SELECT count(*) FROM (SELECT doc_id FROM labels WHERE l.k = 0 OR quality = 1 EXCEPT SELECT doc_id FROM labels)) + (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM labels WHERE l.k = 0 OR quality = 1)) = 0 AS same FROM (SELECT unnest([0, 1]) AS k) l")
 def _(spark, sf):
-    d = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("uid"))
-    return acquire.handoff_matches(d, d).select("same")
+    d = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("uid"), "quality")
+    runs = [acquire.handoff_matches(d if k == 0 else d.where("quality = 1"), d).select(F.lit(k).alias("k"), "same") for k in (0, 1)]
+    return runs[0].unionByName(runs[1])
 
 
 @query("s10_ids_for", "SELECT doc_id FROM documents WHERE lang = 'fr' AND source LIKE 'src1%' ORDER BY doc_id")
@@ -946,7 +996,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     gate = verdicts.combine(votes, ["a", "b"], "intersect").select(F.col("uid").alias("doc_id"), F.col("status").alias("gate"))
     scores = _tally(spark, sf_dir).select(F.col("uid").cast("long").alias("doc_id"), "label")
     joined = kept.join(gate, "doc_id", "left").join(scores, "doc_id", "left")
-    hits = F.size(text.structural_hits(F.col("statement"))) > 0
+    cited = F.concat("statement", F.when(F.col("doc_id") % 7 == 0, " \\cite{a}").otherwise(""))
+    hits = F.size(text.structural_hits(cited)) > 0
     return joined.groupBy(F.coalesce("gate", F.lit("error")).alias("gate"), F.coalesce("label", F.lit("other")).alias("label"), hits.alias("cites")).agg(F.count(F.lit(1)).alias("records"))
 
 
@@ -954,6 +1005,6 @@ query(
     "flagship",
     with_("rec", "ro", "ta") + """, k AS (SELECT doc_id, statement FROM rec WHERE coalesce(statement, '') <> '' QUALIFY row_number() OVER (PARTITION BY dk ORDER BY doc_id) = 1)
 SELECT CASE WHEN l.doc_id IS NULL THEN 'error' WHEN quality = 1 AND toxic = 0 THEN 'well_posed' ELSE 'ill_posed' END AS gate, coalesce(label, 'other') AS label,
-regexp_matches(statement, '\\\\(?:eqref|ref|cref|Cref|autoref|vref|pageref|labelcref|cite|citep|citet|citeauthor|citeyear|label)\\s*\\{') AS cites, count(*) AS records
+regexp_matches(statement || CASE WHEN k.doc_id % 7 = 0 THEN ' \\cite{a}' ELSE '' END, '\\\\(?:eqref|ref|cref|Cref|autoref|vref|pageref|labelcref|cite|citep|citet|citeauthor|citeyear|label)\\s*\\{') AS cites, count(*) AS records
 FROM k LEFT JOIN labels l ON k.doc_id = l.doc_id LEFT JOIN ta ON ta.uid = CAST(k.doc_id AS VARCHAR) GROUP BY 1, 2, 3""",
 )(flagship)
