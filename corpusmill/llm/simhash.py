@@ -84,7 +84,8 @@ class Tree:
         work = [(self._add(), points)]
         while work:
             node, own = work.pop()
-            choice = _best_split(own, ((mask, radius), (FULL, whole)), rng) if len(own) > max(aim, 8) else None
+            room = self.leaves + len(work) + 1 < MAX_SHARDS
+            choice = _best_split(own, ((mask, radius), (FULL, whole)), rng) if room and len(own) > max(aim, 8) else None
             if choice is None:
                 self.left[node] = ~self.leaves
                 self.leaves += 1
@@ -156,13 +157,19 @@ def local_links(points: np.ndarray, radius: int, seed: int = 0) -> tuple[np.ndar
         groups = (own for _, own in tree.deal(points))
     else:
         groups = iter([np.arange(len(points))])
+    held, pairs = [], 0
     for own in groups:
         p = points[own]
         for k in range(0, len(p), 256):
             near = np.bitwise_count(p[k : k + 256, None] ^ p[None, k:]) <= radius
             a, b = np.nonzero(near)
             keep = a < b
-            label = _forest(own[a[keep] + k], own[b[keep] + k], label)
+            held.append((own[a[keep] + k], own[b[keep] + k]))
+            pairs += int(keep.sum())
+            if pairs > len(points):  # joining costs as much as the points: never for fewer links
+                label, held, pairs = _forest(*map(np.concatenate, zip(*held, strict=True)), label), [], 0
+    if pairs:
+        label = _forest(*map(np.concatenate, zip(*held, strict=True)), label)
     member = np.nonzero(label != np.arange(len(points)))[0]
     return points[member], points[label[member]]
 
@@ -210,8 +217,7 @@ def linked(distinct: DataFrame, radius: int = 3, sample: int = SAMPLE, shard: in
         a, b = local_links(np.unique(np.asarray(table.column("fp")).view(np.uint64)), radius)
         return pa.table({"a": _signed(a), "b": _signed(b)})
 
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(key, "1000")
+    bounded_batches(spark)
     return distinct.select("fp").mapInArrow(deal, "shard int, fp long").groupBy("shard").applyInArrow(link, "a long, b long")
 
 
