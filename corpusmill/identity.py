@@ -75,6 +75,7 @@ def draw_rank(seed, *parts: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), *[_text(p) for p in parts]), 256)
 
 
-def uid_set_sha(uid: Column) -> Column:
-    """Aggregate: one hash for a set of uids."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(uid)), ","), 256)
+def uid_set_digest(uid: Column) -> Column:
+    """Aggregate: one digest for a set of distinct uids, whatever their order, in constant memory: their number and sums of two hashes."""
+    one, two = F.xxhash64(uid), F.xxhash64(uid, F.lit("uid"))
+    return F.sha2(F.concat_ws(":", F.count(uid).cast("string"), F.bit_xor(one).cast("string"), F.sum(two.cast("decimal(38,0)")).cast("string")), 256)

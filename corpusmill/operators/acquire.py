@@ -8,7 +8,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..identity import uid_set_sha
+from ..identity import uid_set_digest
 
 # Fixed values of the estimates.
 PAPERS_PER_RECORD, CANDIDATES_PER_PAPER, SAFETY, PAGE, HARVEST_PAGE = 4, 13, 1.5, 50, 1000
@@ -132,8 +132,8 @@ def judge_score(status: Column, pass_votes: Column, n: Column) -> Column:
 
 
 def handoff_matches(handoff: DataFrame, expected: DataFrame) -> DataFrame:
-    """One row: whether the two uid sets have one hash, with both hashes."""
-    a, b = (df.agg(uid_set_sha(F.col("uid")).alias("sha")).first().sha for df in (handoff.select("uid").distinct(), expected.select("uid").distinct()))
+    """One row: whether the two uid sets have one digest, with both digests."""
+    a, b = (df.agg(uid_set_digest(F.col("uid")).alias("sha")).first().sha for df in (handoff.select("uid").distinct(), expected.select("uid").distinct()))
     return handoff.sparkSession.createDataFrame([(a == b, a, b)], "same boolean, handoff string, expected string")
 
 

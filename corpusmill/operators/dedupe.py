@@ -35,17 +35,28 @@ def uid_flips(df: DataFrame, uid: str, statement: str, order: Sequence[str]) ->
     return df.withColumn("_b", before).groupBy(uid).agg(F.count_if(F.col("_b").isNotNull() & (F.col("_b") != F.col(statement))).alias("flips")).where("flips > 0")
 
 
+def running_before(df: DataFrame, value: str, order: Sequence[str], out: str) -> DataFrame:
+    """df with `out`: the sum of value over the rows before it in order, by a range sort, running sums within partitions and one offset for each of those."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_part").agg(F.sum(value).alias("_t"))
+    before = totals.select("_part", (F.sum("_t").over(Window.orderBy("_part")) - F.col("_t")).alias("_earlier"))  # a row for each partition
+    summed = placed.withColumn(out, F.coalesce(F.sum(value).over(own), F.lit(0)))
+    return summed.join(F.broadcast(before), "_part").withColumn(out, F.col(out) + F.col("_earlier")).drop("_part", "_earlier")
+
+
 def capped(df: DataFrame, group: str, group_order: str, order: str, cap: int | None, target: int) -> DataFrame:
     """df with `outcome`: candidate, surplus or dropped.
 
     At most `cap` rows of a group are eligible; eligible rows become candidates, in (group_order, order), until there are
     `target`; other rows of groups up to the one that reached it are surplus, and later groups are dropped. The running
-    count runs over groups (one row each), not rows.
+    count runs over groups (one row each), not rows, and no task orders them all.
     """
     rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
     rows = df.withColumn("_rank", rank).withColumn("_ok", (F.col("_rank") <= cap) if cap else F.lit(True))
     per = rows.groupBy(group, group_order).agg(F.count_if("_ok").alias("_n"))
-    per = per.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(group_order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    per = running_before(per, "_n", [group_order], "_before")
     joined = rows.join(per.select(group, "_before"), group)
     outcome = F.when(F.col("_ok") & (F.col("_before") + F.col("_rank") <= target), "candidate").when(F.col("_before") < target, "surplus").otherwise("dropped")
     return joined.withColumn("outcome", outcome).drop("_rank", "_ok", "_before")

@@ -110,6 +110,60 @@ def to_records(df: DataFrame, source: Column, order: Sequence[str], provenance_o
     )
 
 
+def stated_provenance(df: DataFrame) -> Column:
+    """The stored provenance in lower case if it is a known one, else unknown; computed is never inferred."""
+    stored = F.lower(F.trim(F.coalesce(column(df, "provenance"), F.lit(""))))
+    return F.when(stored.isin(*PROVENANCES), stored).otherwise("unknown")
+
+
+def truths(df: DataFrame) -> Column:
+    """Answers of a record: truth_strings as a list, a JSON list or one string; else the distinct ones of its answer fields. Empty ones go."""
+    fields = F.array_distinct(F.array_compact(F.array(*[F.nullif(column(df, n), F.lit("")) for n in ("truth", "answer", "gold_answer", "answer_value")])))
+    if "truth_strings" not in df.columns:
+        return fields
+    if dict(df.dtypes)["truth_strings"].startswith("array"):
+        return F.when(F.col("truth_strings").isNotNull(), F.filter("truth_strings", lambda x: x != "")).otherwise(fields)
+    text = F.trim("truth_strings")
+    listed = F.when(F.startswith(text, F.lit("[")), F.from_json(F.when(F.try_parse_json(text).isNotNull(), text), "array<string>"))
+    return F.when(listed.isNotNull(), F.filter(listed, lambda x: x != "")).when(text != "", F.array(text)).otherwise(fields)
+
+
+def params(df: DataFrame, family: Column) -> Column:
+    """Parameters as JSON: an object in `params`, else one in `detail` for rows with a family, else null."""
+    held = lambda c: F.when(F.startswith(F.coalesce(F.schema_of_variant(F.try_parse_json(c)), F.lit("")), F.lit("OBJECT")), F.trim(c))
+    return F.coalesce(held(column(df, "params")), F.when(family.isNotNull(), held(column(df, "detail"))))
+
+
+def first_judge_rows(df: DataFrame) -> DataFrame:
+    """Raw rows -> what the first judge reads: unknown provenance and source stay unknown, a missing uid is made of source and statement."""
+    source = F.coalesce(first_of(df, ("source", "dataset")), F.lit("unknown"))
+    statement = F.coalesce(first_of(df, STATEMENT_FIELDS["first_judge"]), F.lit(""))
+    kept = F.lower(F.coalesce(column(df, "provenance"), F.lit("unknown")))
+    return df.select(
+        F.coalesce(F.nullif(column(df, "uid"), F.lit("")), gate_uid(source, statement)).alias("uid"), source.alias("source"), statement.alias("statement"),
+        F.when(kept.isin(*PROVENANCES), kept).otherwise("unknown").alias("provenance"), F.nullif(F.lower(column(df, "truth_policy")), F.lit("")).alias("truth_policy"),
+        *[column(df, n).alias(n) for n in ("answer", "family", "tier", "pass_at_k", "n_correct", "n_wrong", "n_degenerate")],
+    )
+
+
+def second_judge_rows(df: DataFrame, default_source: str = "unknown") -> DataFrame:
+    """Raw rows -> what the second judge reads. Of several fields the first that is neither null nor empty counts; a missing rate comes of the counts."""
+    source = F.coalesce(first_of(df, ("source",)), F.lit(default_source))
+    statement = F.coalesce(first_of(df, STATEMENT_FIELDS["ingest"]), F.lit(""))
+    family = F.nullif(column(df, "family"), F.lit(""))
+    counts = {"n_correct": ("n_correct", "correct"), "n_wrong": ("n_wrong", "wrong", "wrong_complete"), "n_degenerate": ("n_degenerate", "degenerate")}
+    n = {out: to_int(first_of(df, names)) for out, names in counts.items()}
+    total = n["n_correct"] + n["n_wrong"] + n["n_degenerate"]
+    rate = F.coalesce(first_of(df, ("pass_at_k", "pass_rate")).try_cast("double"), F.round(n["n_correct"] / F.nullif(total, F.lit(0)), 6))
+    share = first_of(df, ("top_wrong_share",)).try_cast("double")
+    return df.select(
+        F.coalesce(F.nullif(column(df, "uid"), F.lit("")), ingest_uid(source, statement)).alias("uid"), source.alias("source"), statement.alias("statement"), truths(df).alias("truth_strings"),
+        first_of(df, ("answer_value", "answer", "gold_answer", "truth")).alias("answer_value"), F.nullif(column(df, "tier"), F.lit("")).alias("tier"), family.alias("family"), params(df, family).alias("params"),
+        stated_provenance(df).alias("provenance"), label_of(rate, share, column(df, "label"), "unknown", ("drop",)).alias("label"), rate.alias("pass_at_k"), *[c.alias(k) for k, c in n.items()],
+        first_of(df, ("modal_wrong", "top_wrong_value")).alias("modal_wrong"), share.alias("top_wrong_share"),
+    )
+
+
 def inject_uid(df: DataFrame) -> DataFrame:
     """Rows with a uid keep it; the others get one of source and statement."""
     made = gate_uid(column(df, "source"), first_of(df, STATEMENT_FIELDS["gate"]))

@@ -47,7 +47,7 @@ def select_chunks(manifest: DataFrame, year: int, month: int | None = None) -> D
 
 
 def chunks_for_ids(manifest: DataFrame, wanted: DataFrame, width: int = 1000) -> DataFrame:
-    """Manifest rows, in manifest order, whose range holds a wanted new-style identifier.
+    """Manifest rows, in the order of their ordinal where they have one, whose range holds a wanted new-style identifier.
 
     The key of a month and number is one integer, so a range that straddles months is a plain range.
     """
@@ -56,7 +56,8 @@ def chunks_for_ids(manifest: DataFrame, wanted: DataFrame, width: int = 1000) ->
     ranges = manifest.where(ok).withColumn("_lo", code(F.col("first_item"))).withColumn("_hi", code(F.col("last_item"))).where("_hi >= _lo")
     points = wanted.where(is_new_style(F.col("arxiv_id"))).select(code(F.col("arxiv_id")).alias("_id")).distinct()
     hit = range_join(points, ranges.select("filename", "_lo", "_hi"), "_id", "_lo", "_hi", width * 1000).select("filename").distinct()
-    return manifest.join(hit, "filename", "left_semi")
+    kept = manifest.join(hit, "filename", "left_semi")
+    return kept.orderBy("ordinal") if "ordinal" in manifest.columns else kept
 
 
 def rollup(manifest: DataFrame) -> DataFrame:
@@ -69,6 +70,18 @@ def ids_for(index: DataFrame, category: str, yymm: str, primary_only: bool = Fal
     return index.where(F.startswith("arxiv_id", F.lit(yymm)) & member).select("arxiv_id").orderBy("arxiv_id")
 
 
+def ids_in_scope(index: DataFrame, chunks: DataFrame, category: str, primary_only: bool = False, most: int | None = None) -> DataFrame:
+    """Identifiers of a category in the months of some chunks, months in the chunks' order, each once; `most` takes the first so many.
+
+    chunks(yymm, ordinal); an identifier begins with its month.
+    """
+    months = chunks.groupBy("yymm").agg(F.min("ordinal").alias("_m"))
+    member = F.col("primary_category") == category if primary_only else F.array_contains("categories", category)
+    rows = index.where(member).withColumn("yymm", F.substring("arxiv_id", 1, 4)).join(months, "yymm")
+    first = rows.groupBy("arxiv_id").agg(F.min("_m").alias("_m")).orderBy("_m", "arxiv_id")
+    return (first if most is None else first.limit(most)).select("arxiv_id")
+
+
 def match_proofs(theorems: DataFrame, proofs: DataFrame, starts: DataFrame) -> DataFrame:
     """(uid, start, method, confidence, multi_proof, proof_class) for each theorem(uid, arxiv_id, start, end, body_raw).
 

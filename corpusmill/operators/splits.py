@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from .dedupe import first_wins
 from .rollouts import perfect_solve, total_collapse
 
@@ -41,6 +42,16 @@ def slice_order(eval_slice: Column) -> Column:
     return F.when(eval_slice == "eval_band", 0).when(eval_slice == "anchor_solved", 1).when(eval_slice == "anchor_fail", 2)
 
 
+def slice_rows(eval_set: DataFrame, name: str) -> DataFrame:
+    """The rows of one evaluation slice."""
+    return eval_set.where(F.col("eval_slice") == name)
+
+
+def slice_uids(eval_set: DataFrame, name: str) -> DataFrame:
+    """The uids of one evaluation slice, in order."""
+    return slice_rows(eval_set, name).select("uid").orderBy("uid")
+
+
 def paper_leaks(rows: DataFrame, eval_papers: DataFrame) -> DataFrame:
     return rows.join(eval_papers.select("arxiv_id"), "arxiv_id", "left_semi")
 
@@ -54,27 +65,39 @@ def statement_leaks(rows: DataFrame, eval_statements: DataFrame, key: str = "sta
     return rows.join(eval_statements.select(F.col("statement").alias(key)), key, "left_semi")
 
 
-def prompt_leaks(rows: DataFrame, eval_statements: DataFrame, prompt: str = "prompt", shingle: int = 24) -> DataFrame:
-    """Rows whose prompt holds an evaluation statement anywhere.
+#: Words of a statement by which it is looked up.
+SEED_WORDS = 3
+
+
+def prompt_leaks(rows: DataFrame, eval_statements: DataFrame, prompt: str = "prompt") -> DataFrame:
+    """Rows whose prompt holds an evaluation statement anywhere, be it from the middle of a word on.
 
-    A containment join without a nested loop: a statement's first `shingle` characters are looked up among all of a prompt's
-    stretches of that length that start like some statement does; candidates are then compared. Statements shorter than that
-    are few and are compared through their own length.
+    A containment join without a nested loop: the words of a statement but its first and last stand whole in any prompt that
+    holds it, so up to SEED_WORDS of them are looked up among a prompt's runs of words, one row for each word; candidates are
+    then compared. A statement of one or two words is looked up by its characters, among stretches of its length.
     """
     wanted = eval_statements.select("statement").where("statement <> ''").distinct()
-    numbered = rows.withColumn("_row", F.monotonically_increasing_id())  # stretches carry the row's number, not its prompt
-    found = None
-    for lengths, size in ((F.length("statement") >= shingle, shingle), (F.length("statement") < shingle, None)):
-        own = wanted.where(lengths).withColumn("_n", F.lit(size) if size else F.length("statement"))
-        sizes = [r[0] for r in own.select("_n").distinct().collect()]  # at most `shingle` lengths
-        for n in sizes:
-            keys = own.where(F.col("_n") == n).select(F.xxhash64(F.substring("statement", 1, n)).alias("_k"), "statement")
-            starts = F.sequence(F.lit(1), F.greatest(F.length(prompt) - n + 1, F.lit(1)))
-            pieces = numbered.select("_row", F.explode(F.transform(starts, lambda i: F.xxhash64(F.substr(F.col(prompt), i, F.lit(n))))).alias("_k"))
-            near = pieces.join(keys, "_k").select("_row", "statement").distinct()
-            hit = numbered.join(near, "_row").where(F.contains(F.col(prompt), F.col("statement"))).select(*rows.columns)
-            found = hit if found is None else found.unionByName(hit)
-    return rows.limit(0) if found is None else found.distinct()
+    wanted = wanted.withColumn("_w", F.expr(r"split(statement, '\\s+')")).withColumn("_n", F.least(F.size("_w") - 2, F.lit(SEED_WORDS)))
+    seeds = wanted.where("_n > 0").select("statement", "_n", F.xxhash64(F.expr("array_join(slice(_w, 2, _n), ' ')")).alias("_k"))
+    short = wanted.where("_n <= 0").select("statement", (-F.length("statement")).alias("_n"), F.xxhash64("statement").alias("_k"))
+    kinds = sorted(r[0] for r in seeds.select("_n").unionByName(short.select("_n")).distinct().collect())  # a few lengths
+    if not kinds:
+        return rows.limit(0)
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())  # what is looked up carries the row's number, not its prompt
+
+    def stretches(n: int):
+        if n < 0:
+            starts = F.sequence(F.lit(1), F.greatest(F.length(prompt) + n + 1, F.lit(1)))
+            return F.transform(starts, lambda i: F.xxhash64(F.substr(F.col(prompt), i, F.lit(-n))))
+        runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
+        return once(F.split(prompt, r"\s+"), runs)
+
+    def keyed(n: int):
+        return F.transform(F.array_distinct(stretches(n)), lambda k: F.struct(F.lit(n).alias("_n"), k.alias("_k")))
+
+    pieces = numbered.where(F.col(prompt).isNotNull()).select("_row", F.inline(F.concat(*[keyed(n) for n in kinds])))
+    near = pieces.join(seeds.unionByName(short), ["_n", "_k"]).select("_row", "statement").distinct()
+    return numbered.join(near, "_row").where(F.contains(F.col(prompt), F.col("statement"))).select("_row", *rows.columns).dropDuplicates(["_row"]).drop("_row")
 
 
 def shared_statements(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,31 @@ def sft_rows(records: DataFrame, rollouts: DataFrame, system: str, suffix: str =
     )
 
 
+def hinted_rows(outputs: DataFrame, system: str, suffix: str = "") -> DataFrame:
+    """outputs(uid, question, output, proof_raw_sha, sample_idx, k_tried, source_tier, arxiv_id) as chat rows: the question without its hint, the output word for word."""
+    receipt = F.struct(F.col("k_tried"), F.lit(True).alias("verified")).alias("verify_receipt")
+    return outputs.select(
+        F.array(message("system", F.lit(system)), message("user", F.concat("question", F.lit(suffix)))).alias("prompt"), F.array(message("assistant", F.col("output"))).alias("completion"),
+        F.struct("uid", "proof_raw_sha", F.col("sample_idx").alias("regen_sample_idx"), receipt, "source_tier", "arxiv_id").alias("provenance"),
+    )
+
+
+def folded(rows: DataFrame, batch: str, via: str, source_file: str, k: int = 8) -> DataFrame:
+    """Scored rows of a batch in the corpus's shape: how they were admitted, from where, and their results as one field."""
+    results = F.struct(F.lit(k).alias("k"), "label", "modal_wrong", "n_correct", "n_degenerate", "n_wrong", "pass_at_k", F.lit(source_file).alias("source_file"), F.lit("final").alias("status"), "top_wrong_share")
+    return rows.select("uid", "statement", F.lit(via).alias("wellposed_via"), F.lit(batch).alias("source_batch"), results.alias("pass_at_k_results"))
+
+
+def census(rows: DataFrame, stages: Sequence[tuple[str, Column]]) -> DataFrame:
+    """(place, stage, rows): how many rows pass each stage and all before it."""
+    passed, counts = F.lit(True), []
+    for name, ok in stages:
+        passed = passed & F.coalesce(ok, F.lit(False))
+        counts.append(F.count_if(passed).alias(name))
+    one = rows.agg(*counts)
+    return one.select(F.posexplode(F.array(*[F.struct(F.lit(n).alias("stage"), F.col(n).alias("rows")) for n, _ in stages])).alias("place", "s")).select("place", "s.stage", "s.rows")
+
+
 def hinted_prompt(statement: Column, marker: str, solution: Column, suffix: str = "") -> Column:
     return F.concat(statement, F.lit(marker), solution, F.lit(suffix))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -93,6 +92,67 @@ class Plan:
         need(self.mode != "production" or wanted <= self.call_budget, f"the budget of {self.call_budget} calls is below the estimate of {wanted}")
 
 
+def check_not_retired(path: str, retired: Sequence[str]) -> None:
+    """No retired location is read or written again."""
+    bad = [r for r in retired if os.path.normpath(path) == os.path.normpath(r) or os.path.normpath(path).startswith(os.path.normpath(r) + os.sep)]
+    need(not bad, f"{path} is retired: {bad}")
+
+
+def check_baseline(spark: SparkSession, path: str, uids: DataFrame) -> None:
+    """A baseline's scores are there, and for every uid, before anything is trained."""
+    try:
+        scores = spark.read.parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        raise ControlError(f"no baseline at {path}") from e
+    lost = uids.select("uid").join(scores.where("n_correct is not null").select("uid"), "uid", "left_anti").limit(5).collect()
+    need(not lost, f"no baseline score for {[r.uid for r in lost]}")
+
+
+def check_chain(spark: SparkSession, manifest: Mapping[str, str], paths: Mapping[str, str]) -> None:
+    """Each file that a manifest names by its SHA-256 is that very file."""
+    unnamed = sorted(set(paths) - set(manifest))
+    need(not unnamed, f"the manifest does not name {unnamed}")
+    wrong = [name for name, path in paths.items() if pin(spark, path)[0] != manifest[name]]
+    need(not wrong, f"not the files of the manifest: {wrong}")
+
+
+def run_concluded(marker: bool, quiet_seconds: float | None, limit_seconds: float) -> bool:
+    """A run has ended if it left its marker, or if nothing was written for so long."""
+    return marker or (quiet_seconds is not None and quiet_seconds >= limit_seconds)
+
+
+def tick(watch: Sequence[Callable], batches: Sequence[Batch], advance: Callable[[int], None], slice_new: Callable) -> str:
+    """One step of the loop: other journals are read, a frozen batch halts it, the oldest unfinished batch moves on by one stage, else a new slice is cut."""
+    for read in watch:
+        read()
+    if any(b.state == FROZEN for b in batches):
+        return "halted"
+    for k, b in enumerate(batches):
+        if b.state != BATCH_STATES[-1]:
+            advance(k)
+            return "advanced"
+    slice_new()
+    return "sliced"
+
+
+def status_report(batches: Mapping[int, Batch], held: int, extras: Mapping[str, object] | None = None) -> str:
+    """Markdown: batches by number with their states and last change, the rows that wait for a slice, and what else a run tells."""
+    rows = [f"| {k} | {b.state or 'none'} | {b.history[-1][2] if b.history else ''} |" for k, b in sorted(batches.items())]
+    more = [f"- {k}: {v}" for k, v in (extras or {}).items()]
+    return "\n".join(["# Status", "", "| batch | state | since |", "| --- | --- | --- |", *rows, "", f"Rows held for the next slice: {held}", "", *more])
+
+
+def retry_after(value: str | None) -> float | None:
+    """Seconds of a Retry-After header that gives a number; null for a date or anything else."""
+    try:
+        seconds = float(value) if value is not None else None
+    except ValueError:
+        return None
+    return seconds if seconds is not None and 0 <= seconds < float("inf") else None
+
+
 def check_names(paths: Sequence[str], blocked: Sequence[str]) -> None:
     """No file's name holds a blocked part."""
     bad = [p for p in paths for b in blocked if b in os.path.basename(p).lower()]
@@ -100,9 +160,14 @@ def check_names(paths: Sequence[str], blocked: Sequence[str]) -> None:
 
 
 def pin(spark: SparkSession, path: str) -> tuple[str, int]:
-    """(SHA-256, rows) of a line file, the last line counted whether it ends or not."""
-    content = bytes(spark.read.format("binaryFile").load(path).first().content)
-    return hashlib.sha256(content).hexdigest(), content.count(b"\n") + (bool(content) and not content.endswith(b"\n"))
+    """(SHA-256, rows) of a line file, the last line counted whether it ends or not. The file is streamed, the lines are counted by Spark."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(place)
+    try:
+        sha = spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+    return sha, spark.read.option("lineSep", "\n").text(path).count()
 
 
 def check_pin(spark: SparkSession, path: str, sha256: str, rows: int) -> None:
