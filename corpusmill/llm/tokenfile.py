@@ -4,7 +4,7 @@ A file is  magic, header, frames, index, footer:
   magic   8 bytes, b"CMTOK\\x00\\x01\\n"
   header  32 bytes, the SHA-256 of the dictionary that the frames need
   frames  one zstandard frame for each document, in ascending id order: its ids as little-endian unsigned 16- or 32-bit integers
-  index   for each document 28 bytes, little-endian: id int64, offset uint64, frame bytes uint32, ids uint64
+  index   for each document 28 bytes, little-endian: id int64, offset uint64, frame bytes uint32, ids uint64 (its top bit set: the id is null)
   footer  offset of the index uint64, documents uint64, ids uint64, width of an id uint32, magic
 A document is read with one range read of the index and one of its frame.
 """
@@ -26,11 +26,14 @@ from .tokens import END, encoder
 
 MAGIC = b"CMTOK\x00\x01\n"
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("size", "<u4"), ("n", "<u8")])
+ENTRY = struct.Struct("<qQIQ")
 FOOTER = struct.Struct("<QQQI8s")
 #: The dictionary is trained on so many documents, so many bytes of each at most, to so many bytes.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 16_384, 65_536
 LEVEL = 3
-NULL_ID = -(1 << 63)
+#: Text bytes of a file at most, on the average: more files than partitions are written where partitions would be larger.
+FILE_BYTES = 256 << 20
+NULL = 1 << 63
 
 
 def serialize(ids: bytes, width: int) -> bytes:
@@ -54,8 +57,7 @@ class Writer:
         shared = zstandard.ZstdCompressionDict(dictionary)
         shared.precompute_compress(level=LEVEL)  # digested once, not for each frame
         self.frame = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True).compress
-        self.rows: list[tuple[int, int, int, int]] = []
-        self.ids = 0
+        self.index, self.docs, self.ids = bytearray(), 0, 0
 
     def parts(self, docs):
         """docs: (doc_id, uint32 id bytes)."""
@@ -63,12 +65,13 @@ class Writer:
         at = len(MAGIC) + 32
         for doc_id, ids in docs:
             frame = self.frame(serialize(ids, self.width))
-            self.rows.append((NULL_ID if doc_id is None else doc_id, at, len(frame), len(ids) // 4))
+            self.index += ENTRY.pack(doc_id or 0, at, len(frame), len(ids) // 4 + (NULL if doc_id is None else 0))
+            self.docs += 1
             at += len(frame)
             self.ids += len(ids) // 4
             yield frame
-        yield np.array(self.rows, dtype=INDEX).tobytes()
-        yield FOOTER.pack(at, len(self.rows), self.ids, self.width, MAGIC)
+        yield bytes(self.index)
+        yield FOOTER.pack(at, self.docs, self.ids, self.width, MAGIC)
 
 
 class Reader:
@@ -84,7 +87,9 @@ class Reader:
             raise ValueError(f"{uri}: not a token file")
         if head[len(MAGIC) :] != hashlib.sha256(dictionary).digest():
             raise ValueError(f"{uri}: written with another dictionary")
-        self.index = np.frombuffer(self.source.read_at(n * INDEX.itemsize, index_at), dtype=INDEX)
+        self.index = np.frombuffer(self.source.read_at(n * INDEX.itemsize, index_at), dtype=INDEX).copy()
+        self.null = self.index["n"] >= NULL  # they stand first
+        self.index["n"] &= NULL - 1
         self.plain = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)).decompress
 
     def ids_at(self, place: int) -> np.ndarray:
@@ -93,7 +98,8 @@ class Reader:
         return np.frombuffer(raw, dtype="<u2" if self.width == 2 else "<u4").astype("<u4")
 
     def ids_of(self, doc_id: int) -> np.ndarray:
-        place = int(np.searchsorted(self.index["doc_id"], doc_id))
+        nulls = int(self.null.sum())
+        place = nulls + int(np.searchsorted(self.index["doc_id"][nulls:], doc_id))
         if place == len(self.index) or self.index["doc_id"][place] != doc_id:
             raise KeyError(doc_id)
         return self.ids_at(place)
@@ -106,10 +112,10 @@ class Reader:
             while end < len(self.index) and int(self.index["offset"][end] + self.index["size"][end]) - first <= chunk:
                 end += 1
             run = self.source.read_at(int(self.index["offset"][end - 1] + self.index["size"][end - 1]) - first, first)
-            for row in self.index[k:end]:
+            for row, null in zip(self.index[k:end], self.null[k:end], strict=True):
                 at = int(row["offset"]) - first
                 raw = self.plain(run[at : at + int(row["size"])])
-                yield (None if row["doc_id"] == NULL_ID else int(row["doc_id"])), np.frombuffer(raw, dtype="<u2" if self.width == 2 else "<u4").astype("<u4")
+                yield (None if null else int(row["doc_id"])), np.frombuffer(raw, dtype="<u2" if self.width == 2 else "<u4").astype("<u4")
             k = end
 
     def close(self) -> None:
@@ -127,7 +133,8 @@ def write_files(docs: DataFrame, vocabulary: str | None = None, files: int | Non
     enc = encoder(vocabulary)
     width = 2 if enc.library.get_vocab_size() <= 1 << 16 else 4
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    share = int(min(1.0, 1.5 * SAMPLE_DOCS / max(rows.count(), 1)) * (1 << 30))  # so that a task sends its share of the sample, not a whole one
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    share = int(min(1.0, 1.5 * SAMPLE_DOCS / max(n, 1)) * (1 << 30))  # so that a task sends its share of the sample, not a whole one
     hashed = rows.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_BYTES).alias("text")).where(F.pmod("h", F.lit(1 << 30)) <= share)
     drawn = hashed.orderBy("h").limit(SAMPLE_DOCS)
     end = END.to_bytes(4, "little")
@@ -135,7 +142,7 @@ def write_files(docs: DataFrame, vocabulary: str | None = None, files: int | Non
     dictionary = train_dictionary(samples)
     folder = shared_path(spark, "tokens")
     shared = spark.sparkContext.broadcast(dictionary)  # DICTIONARY_BYTES at most
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     out = pa.schema([("part", pa.int32()), ("uri", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
 
     def write(batches):
@@ -153,7 +160,7 @@ def write_files(docs: DataFrame, vocabulary: str | None = None, files: int | Non
             yield from stream
 
         write_whole(uri, writer.parts(chain()))
-        yield arrow_rows(out, [[part], [uri], [len(writer.rows)], [writer.ids]])
+        yield arrow_rows(out, [[part], [uri], [writer.docs], [writer.ids]])
 
     placed = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     made = sorted(placed.mapInArrow(write, "part int, uri string, docs long, ids long").collect())

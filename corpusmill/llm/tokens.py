@@ -3,10 +3,12 @@
 A byte-level BPE encodes each pre-token by itself, so a text's ids are its pre-tokens' ids in order. For texts of
 Latin-1 characters the pre-tokens come from the vocabulary's own split pattern and each distinct pre-token goes
 through the library once per worker; other texts, and texts that hold a special token's string, go through the library whole.
+So does every text where the vocabulary's settings are not those that this split is made for.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 #: The split pattern of the vocabulary's byte-level pre-tokenizer, with its Unicode classes written out
@@ -43,6 +45,14 @@ class _Pieces(dict):
         return ids
 
 
+def splits_plainly(settings: dict) -> bool:
+    """Whether a vocabulary is a plain byte-level BPE: no normalizer, the byte-level split without a leading space, no other model options."""
+    split, model = settings.get("pre_tokenizer") or {}, settings["model"]
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    options = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")
+    return bool(plain and settings.get("normalizer") is None and model["type"] == "BPE" and not any(model.get(k) for k in options))
+
+
 class Encoder:
     """encode(text) -> little-endian unsigned 32-bit ids."""
 
@@ -53,6 +63,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path or vocabulary_path())
+        self.known = splits_plainly(json.loads(self.library.to_str()))
         self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         self.split = re.compile(PATTERN).findall
         self.held = _Pieces(self.library)
@@ -64,6 +75,8 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self.known:
+            return self.whole(text)
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
