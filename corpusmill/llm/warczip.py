@@ -1,8 +1,8 @@
 """WARC records in ZIP-packaged archives: stored members, a record index, range reads.
 
-An archive is a ZIP of two stored members: archive/data.warc.gz, one gzip member for each record, and
-indexes/index.cdxj, a line for each record with its offset and length there. The reader finds both through the end
-records and the central directory (ZIP64 included) and reads single records by range; nothing is extracted.
+An archive is a ZIP of stored members: under archive/ WARC files with one gzip member for each record, under indexes/ CDXJ
+files, a line for each record (key, timestamp, JSON) with the file, offset and length of it. The reader finds them all through
+the end records and the central directory (ZIP64 included) and reads single records by range; nothing is extracted.
 """
 
 from __future__ import annotations
@@ -10,10 +10,12 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +28,8 @@ LOCAL, CENTRAL, END, END64, LOCATOR64, DESCRIPTOR = b"PK\x03\x04", b"PK\x01\x02"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 M32, M16 = 0xFFFFFFFF, 0xFFFF
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+#: Record bytes after which a task begins another archive.
+ARCHIVE_BYTES = 256 << 20
 #: Payloads below this many bytes are never revisits.
 LEAST = 100
 
@@ -158,36 +162,73 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return fields, web, payload
 
 
-def archive_bytes(records: Iterable[tuple[int | None, bytes]], always64: bool = False) -> Iterator[bytes]:
-    """records: (page_id, plain record) -> the archive's bytes."""
-    sink, lines = ZipSink(always64), []
+def url_key(url: str | None) -> str:
+    """A URL's sort key: host parts from the top, then the path; - without a host."""
+    try:
+        parts = urlsplit(url or "")
+        host = (parts.hostname or "").removeprefix("www.")
+    except ValueError:
+        host = ""
+    if not host:
+        return "-"
+    tail = parts.path.lower() + (f"?{parts.query.lower()}" if parts.query else "")
+    return re.sub(r"[\s{}]", lambda m: f"%{ord(m[0]):02X}", ",".join(reversed(host.split("."))) + ")" + (tail or "/"))
+
+
+def archive_bytes(records: Iterable[tuple[str | None, bytes]], always64: bool = False) -> Iterator[bytes]:
+    """records: (url, plain record) -> the archive's bytes."""
+    sink, lines, name = ZipSink(always64), [], DATA.rpartition("/")[2]
 
     def packed():
         at = 0
-        for page_id, raw in records:
+        for url, raw in records:
             member = gzip.compress(raw, 4, mtime=0)
-            lines.append(json.dumps({"page_id": page_id, "offset": at, "length": len(member)}) + "\n")
+            lines.append((url_key(url), f"{url_key(url)} 19700101000000 {json.dumps({'url': _header(url or ''), 'filename': name, 'offset': str(at), 'length': str(len(member))})}\n"))
             at += len(member)
             yield member
 
     yield from sink.member(DATA, packed())
-    yield from sink.member(INDEX, ["".join(lines).encode()])
+    yield from sink.member(INDEX, (line.encode() for _, line in sorted(lines)))
     yield from sink.end()
 
 
+def indexed_records(archive: ZipRanges) -> list[tuple[str, int, int]]:
+    """(member, offset, length) of every record that the archive's indexes name, in order, each once.
+
+    A line's file is a member under archive/; a line that names none is of the only one there.
+    """
+    data = [m for m in archive.members if m.startswith("archive/") and not m.endswith("/")]
+    found = set()
+    for name, member in archive.members.items():
+        if not name.startswith("indexes/") or name.endswith("/"):
+            continue
+        raw = archive.range(name, 0, member.size)
+        for line in (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).splitlines():
+            at = line.find(b"{")
+            if at < 0 or line.startswith(b"!"):
+                continue  # a header or a blank line
+            row = json.loads(line[at:])
+            file = row.get("filename")
+            target = data[0] if file is None and len(data) == 1 else next((m for m in data if m in (file, f"archive/{file}")), None)
+            if target is None:
+                raise ValueError(f"{name}: a record of {file}, which the archive does not hold")
+            found.add((target, int(row["offset"]), int(row["length"])))
+    return sorted(found)
+
+
 def archive_records(read, size: int, run: int = 4 << 20) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
     """Every record of an archive, by range reads of runs of neighbouring records."""
     archive = ZipRanges(read, size)
-    index = [json.loads(x) for x in archive.range(INDEX, 0, archive.members[INDEX].size).splitlines()]
-    k = 0
+    index, k = indexed_records(archive), 0
     while k < len(index):
-        first, end = index[k]["offset"], k + 1
-        while end < len(index) and index[end]["offset"] + index[end]["length"] - first <= run:
+        member, first, _ = index[k]
+        end = k + 1
+        while end < len(index) and index[end][0] == member and index[end][1] + index[end][2] - first <= run:
             end += 1
-        data = archive.range(DATA, first, index[end - 1]["offset"] + index[end - 1]["length"] - first)
-        for row in index[k:end]:
-            at = row["offset"] - first
-            yield parse_record(gzip.decompress(data[at : at + row["length"]]))
+        data = archive.range(member, first, max(at + n for _, at, n in index[k:end]) - first)
+        for _, at, n in index[k:end]:
+            raw = data[at - first : at - first + n]
+            yield parse_record(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
         k = end
 
 
@@ -212,26 +253,24 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     def write(batches):
         from pyspark import TaskContext
 
-        count = [0]
-
-        def records():
-            for batch in batches:
-                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    count[0] += 1
-                    yield row[0], warc_record(*row)
-
-        stream = records()
-        start = next(stream, None)
-        if start is None:
-            return
-
-        def chain():
-            yield start
-            yield from stream
-
-        uri = f"{folder}/part-{TaskContext.get().partitionId():06d}.wacz"
-        write_whole(uri, archive_bytes(chain()))
-        yield arrow_rows(out, [[uri], [count[0]]])
+        part = TaskContext.get().partitionId()
+        stream = ((row[1], warc_record(*row)) for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        held, number = next(stream, None), 0
+        while held is not None:
+            done = [0, 0]
+
+            def some(done=done):
+                """Records of one archive; the one that it has no room for stays in held."""
+                nonlocal held
+                while held is not None and (not done[0] or done[1] < ARCHIVE_BYTES):
+                    yield held
+                    done[0], done[1] = done[0] + 1, done[1] + len(held[1])
+                    held = next(stream, None)
+
+            uri = f"{folder}/part-{part:06d}-{number:04d}.wacz"
+            write_whole(uri, archive_bytes(some()))
+            yield arrow_rows(out, [[uri], [done[0]]])
+            number += 1
 
     made = sorted(rows.mapInArrow(write, "uri string, records long").collect())  # a row for each archive
     return spark.createDataFrame([tuple(x) for x in made], "uri string, records long")
