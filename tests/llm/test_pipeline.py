@@ -7,13 +7,39 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from corpusmill.llm import decontaminate, entry, toxicity
+from corpusmill.llm import decontaminate, entry, nearcopies, toxicity
 from corpusmill.llm.common import materialize
-from tests.llm.test_operators import DOC, ODD, brute_cut, brute_simhash, check_packing, ids_of
+from tests.llm.test_operators import DOC, ODD, brute_cut, check_packing, ids_of
 
 SF = "/root/testdata/sf0.001"
 
 
+def near_groups(rows):
+    """Sets of ids chained by a similarity of 4/5 or more of five-word shingles, by comparing all texts that share one."""
+    sets, post = [], defaultdict(list)
+    for i, (_, text) in enumerate(rows):
+        w = (text or "").encode().lower().split()
+        sets.append({b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))})  # blank texts: one empty shingle
+        for g in sets[-1]:
+            post[g].append(i)
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i, own in enumerate(sets):
+        for j in {j for g in own for j in post[g] if j < i}:
+            shared = len(sets[i] & sets[j])
+            if 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared):
+                parent[find(i)] = find(j)
+    groups = defaultdict(set)
+    for i, (doc, _) in enumerate(rows):
+        groups[find(i)].add(doc)
+    return list(groups.values())
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, stages = docs.columns, dict(corpus_pipeline.STAGES)
@@ -23,7 +49,7 @@ def test_stages(spark):
     toxic = [r.doc_id for r in docs.collect() if toxicity.predict(chain, toxicity.features_of(r.text))[1] >= chain[1].threshold]
     assert sorted(r.doc_id for r in clean.collect()) == sorted({r.doc_id for r in docs.collect()} - set(toxic)) and clean.columns == columns
     once = materialize(stages["near_duplicates"](spark, clean, SF), "n")
-    want = sorted({c for _, _, c in brute_simhash([(r.doc_id, r.text) for r in clean.collect()])})
+    want = sorted(map(min, near_groups([(r.doc_id, r.text) for r in clean.collect()])))
     assert sorted(r.doc_id for r in once.collect()) == want and once.columns == columns
     cut = materialize(stages["substring"](spark, once, SF), "s")
     kept = {d: (k if n else None) for d, _, n, k in brute_cut([(r.doc_id, r.text) for r in once.collect()])}
@@ -87,7 +113,7 @@ def test_one_of_each_group_stays(spark):
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(None, a), (3, b.upper()), (7, "")], key=str)
 
 
-def test_near_copies_against_brute_force(spark):
+def test_near_copies_against_brute_force(spark, monkeypatch):
     rng, rows = random.Random(5), [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     vocabulary = [f"w{k}" for k in range(400)]
     for c in range(12):  # clouds of near copies around one text, at similarities on both sides of 4/5
@@ -98,27 +124,9 @@ def test_near_copies_against_brute_force(spark):
                 own[rng.randrange(len(own))] = rng.choice(vocabulary)
             rows.append((10_000 + 100 * c + k, "  ".join(own).upper() if k % 7 == 0 else " ".join(own)))
     rows += [(20_000, ""), (20_001, None), (20_002, "one two"), (20_003, "One  two")]
-    sets, post = [], defaultdict(list)
-    for i, (_, text) in enumerate(rows):
-        w = (text or "").encode().lower().split()
-        sets.append({b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))})  # blank texts: one empty shingle
-        for g in sets[-1]:
-            post[g].append(i)
-    parent = list(range(len(rows)))
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    for i, own in enumerate(sets):
-        for j in {j for g in own for j in post[g] if j < i}:
-            shared = len(sets[i] & sets[j])
-            if 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared):
-                parent[find(i)] = find(j)
-    groups = defaultdict(set)
-    for i, (doc, _) in enumerate(rows):
-        groups[find(i)].add(doc)
+    groups = near_groups(rows)
     df = spark.createDataFrame([(d, t, None, None, len(t or "")) for d, t in rows], DOC)
-    kept = corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(min(g) for g in groups.values())
+    for block in (nearcopies.LIST, 8):  # lists in one piece, and dealt in pairs of blocks
+        monkeypatch.setattr(nearcopies, "LIST", block)
+        kept = corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()
+        assert sorted(r.doc_id for r in kept) == sorted(min(g) for g in groups)
