@@ -1008,3 +1008,5 @@ SELECT CASE WHEN l.doc_id IS NULL THEN 'error' WHEN quality = 1 AND toxic = 0 TH
 regexp_matches(statement || CASE WHEN k.doc_id % 7 = 0 THEN ' \\cite{a}' ELSE '' END, '\\\\(?:eqref|ref|cref|Cref|autoref|vref|pageref|labelcref|cite|citep|citet|citeauthor|citeyear|label)\\s*\\{') AS cites, count(*) AS records
 FROM k LEFT JOIN labels l ON k.doc_id = l.doc_id LEFT JOIN ta ON ta.uid = CAST(k.doc_id AS VARCHAR) GROUP BY 1, 2, 3""",
 )(flagship)
+
+from . import more  # noqa: E402, F401  registers its queries

@@ -59,3 +59,34 @@ def test_pins_replay_and_retries(spark, tmp_path):
     assert len(calls) == 3
     w = spark.createDataFrame([("no id",), ("no id",)], "warning string")
     assert "- no id: 2" in control.source_report("T", {"kept": 3}, w, spark.createDataFrame([("r",)], "quarantine_reason string"))
+
+
+def test_run_guards(spark, tmp_path):
+    control.check_not_retired("/a/b", ["/a/c", "/a/bb"])
+    with pytest.raises(control.ControlError, match="retired"):
+        control.check_not_retired("/a/b/../b/x", ["/a/b"])
+    uids = spark.createDataFrame([("u",), ("v",)], "uid string")
+    with pytest.raises(control.ControlError, match="no baseline at"):
+        control.check_baseline(spark, str(tmp_path / "none"), uids)
+    spark.createDataFrame([("u", 1), ("v", None)], "uid string, n_correct int").write.parquet(str(tmp_path / "base"))
+    control.check_baseline(spark, str(tmp_path / "base"), uids.where("uid = 'u'"))
+    with pytest.raises(control.ControlError, match="no baseline score"):
+        control.check_baseline(spark, str(tmp_path / "base"), uids)
+    (tmp_path / "f").write_bytes(b"a\nb")
+    sha = control.pin(spark, str(tmp_path / "f"))[0]
+    control.check_chain(spark, {"x": sha}, {"x": str(tmp_path / "f")})
+    for manifest, message in (({"x": "0"}, "not the files"), ({}, "does not name")):
+        with pytest.raises(control.ControlError, match=message):
+            control.check_chain(spark, manifest, {"x": str(tmp_path / "f")})
+    assert control.run_concluded(True, None, 5) and control.run_concluded(False, 6.0, 5) and not control.run_concluded(False, None, 5)
+    assert [control.retry_after(v) for v in ("3", "1.5", "-1", "inf", "Wed, 21 Oct", None)] == [3.0, 1.5, None, None, None, None]
+
+
+def test_tick_and_status():
+    seen = []
+    done, open_, frozen = control.Batch("READY"), control.Batch("SLICED", [(None, "SLICED", "t1")]), control.Batch(control.FROZEN)
+    run = lambda batches: control.tick([lambda: seen.append("watched")], batches, lambda k: seen.append(k), lambda: seen.append("cut"))
+    assert [run([done, open_]), run([done, frozen, open_]), run([done])] == ["advanced", "halted", "sliced"]
+    assert seen == ["watched", 1, "watched", "watched", "cut"]
+    text = control.status_report({2: open_, 1: done}, 7, {"cost": 1.5})
+    assert "| 1 | READY |  |\n| 2 | SLICED | t1 |" in text and "next slice: 7" in text and "- cost: 1.5" in text

@@ -121,6 +121,32 @@ def test_slice_against_loop(spark):
         assert rows(slices.cut_slice(j, led, size), "line_no", "verdict", "accepted") == sorted(out, key=str)
 
 
+def test_slices_where_uids_cross_statements(spark):
+    rng = random.Random(3)
+    for size in (4, 60):
+        journal = [(line, f"u{rng.randrange(9)}", f"s{rng.randrange(9)}", rng.choice("xy")) for line in range(50)]
+        ledger = [("u0", "s0", "x", 1, False)]
+        uids, stmts, out = {}, set(), []
+        for line, u, s, h in journal:
+            if len(uids) == size:
+                break
+            if u == "u0" or s == "s0":
+                out.append((line, ("replay" if h == "x" else "uid_conflict") if u == "u0" else "stmt_conflict", False))
+            elif u in uids:
+                out.append((line, "replay" if uids[u] == h else "uid_conflict", False))
+            elif s in stmts:
+                out.append((line, "stmt_conflict", False))
+            else:
+                uids[u] = h
+                stmts.add(s)
+                out.append((line, "new", True))
+        if len(uids) < size:
+            out = [(line, v, False) for line, v, _ in out]
+        j = spark.createDataFrame(journal, "line_no int, uid string, stmt_key string, content_hash string")
+        led = spark.createDataFrame(ledger, "uid string, stmt_key string, content_hash string, journal_line long, warn_only boolean")
+        assert rows(slices.cut_slice(j, led, size), "line_no", "verdict", "accepted") == sorted(out, key=str)
+
+
 @pytest.mark.parametrize("b, c, p", [(0, 0, 1), (1, 9, 22 / 1024), (2, 8, 112 / 1024), (0, 5, 2 / 32), (3, 3, 1), (1, 1, 1)])
 def test_mcnemar(b, c, p):
     assert report.mcnemar(b, c) == pytest.approx(p)

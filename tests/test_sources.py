@@ -1,3 +1,4 @@
+import hashlib
 import io
 import json
 import tarfile
@@ -81,6 +82,13 @@ def test_archives(spark, tmp_path):
     assert [(r.arxiv_id, bytes(r.payload)) for r in archives.matching(members, wanted).collect()] == [("2301.00002", b"abc")]
     manifest = spark.createDataFrame([("src/c.tar", "x")], "filename string, md5sum string")
     assert archives.checksum_failures(members, manifest).count() == 1
+    md5 = hashlib.md5((tmp_path / "c.tar").read_bytes()).hexdigest()
+    assert archives.checksum_failures(members, spark.createDataFrame([("src/c.tar", md5)], "filename string, md5sum string")).count() == 0
+    asked = spark.createDataFrame([("src/c.tar", ["2301.00001"]), ("src/other.tar", ["2301.00002"])], "chunk string, arxiv_ids array<string>")
+    assert [(r.arxiv_id, r.md5) for r in archives.read_members(spark, str(tmp_path / "*.tar"), asked).collect()] == [("2301.00001", None)]
+    with open(tmp_path / "c.tar", "r+b") as f:  # what follows the wanted member is not read: a broken tail does no harm
+        f.truncate(1500)
+    assert archives.read_members(spark, str(tmp_path / "c.tar"), asked).count() == 1
 
 
 def test_sheets(spark, tmp_path):
