@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import discard, materialize, release
 
 
 #: A node's edges meet its least neighbour in so many groups, so that a hub's edges are no task's own.
@@ -47,7 +47,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        now = materialize(_small_star(_large_star(now)), "star")
+        before, now = now, materialize(_small_star(_large_star(now)), "star")
+        discard(before)
         last, mark = mark, _mark(now)
         release(now.sparkSession)
         if mark == last:

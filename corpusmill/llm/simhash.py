@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bounded_batches, materialize, release
+from .common import arrow_rows, bounded_batches, discard, materialize, release
 from .components import components
 
 #: Fingerprints read by the driver to place vantage points; the links do not depend on it.
@@ -238,6 +238,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
     known = F.col("root").isNotNull()  # a component of one fingerprint has no row here
     named = distinct.join(moved, "fp", "left").select("fp", F.when(known, F.col("least")).otherwise(F.col("first")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "named")
+    discard(distinct)
     release(spark)
     return fps.join(named, "fp").select("doc_id", "fp", "text_hash", "component_id", "root")
 

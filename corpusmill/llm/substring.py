@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, release
+from .common import bounded_batches, discard, materialize, release
 
 WINDOW, K = 35, 12
 BASE, BASE2, MIX, MIX2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -141,7 +141,9 @@ def _paths(edges: DataFrame) -> DataFrame:
     while open_:
         ahead = chain.select(F.col("mh").alias("_m"), F.col("rh").alias("_r"), F.col("to").alias("_to"), F.col("len").alias("_len"), F.col("tail").alias("_tail"))
         stepped = chain.join(ahead, (F.col("to.mh") == F.col("_m")) & (F.col("to.rh") == F.col("_r")), "left")
-        chain = materialize(stepped.select("mh", "rh", F.col("_to").alias("to"), (F.col("len") + F.coalesce("_len", F.lit(0))).alias("len"), F.coalesce("_tail", "tail").alias("tail")), "chain")
+        before, chain = chain, materialize(stepped.select("mh", "rh", F.col("_to").alias("to"), (F.col("len") + F.coalesce("_len", F.lit(0))).alias("len"), F.coalesce("_tail", "tail").alias("tail")), "chain")
+        if before is not first:
+            discard(before)
         left = chain.where("to is not null").count()
         release(spark)
         if left == open_:
@@ -169,6 +171,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K, id_col: st
     anchors = materialize(anchors.select("mh", F.expr("lo <> hi").alias("contested")), "anchors")
     release(spark)
     live = materialize(runs.join(anchors, "mh").select("rid", "run", "mh", "rh", "contested"), "live")
+    discard(anchors)
     release(spark)
     by_row = Window.partitionBy("rid").orderBy("run")
     edge = F.struct("mh", "rh")
@@ -191,7 +194,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K, id_col: st
     whole = materialize(live.join(heads.hint("shuffle_hash"), ["mh", "rh"]).select("rid", F.struct("run", "len", "tail", F.lit(0).cast("long").alias("mask")).alias("s")), "whole")
     part = masks.select("rid", F.struct("run", F.lit(0).cast("long").alias("len"), F.lit(0).cast("long").alias("tail"), "mask").alias("s"))
     spans = whole.unionByName(part).groupBy("rid").agg(F.collect_list("s").alias("spans"))
-    return materialize(spans.join(keys, "rid").groupBy("_k", "_d").agg(F.first("spans").alias("spans")), "spans")
+    found = materialize(spans.join(keys, "rid").groupBy("_k", "_d").agg(F.first("spans").alias("spans")), "spans")
+    discard(scanned, live, edges, windows, heads, whole)
+    return found
 
 
 def _windows(docs: DataFrame, wanted: DataFrame, window: int, k: int, id_col: str, text_col: str) -> DataFrame:
