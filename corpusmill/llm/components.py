@@ -14,7 +14,9 @@ SALTS = 16
 
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     salted = edges.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return salted.join(least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["u", "_s"])
+    # never a broadcast: Spark sizes that side by its rows before they are repeated
+    repeated = least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(repeated.hint("merge"), ["u", "_s"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
