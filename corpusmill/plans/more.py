@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import latex, text, verify
 from ..operators import acquire, dedupe, normalise, report, spans, splits, training, verdicts
 from ..sources import archives, lines
+from . import builds
 from . import standins as S
 from .catalog import query
 from .standins import WS, table, with_
@@ -319,3 +320,93 @@ def _(spark, sf):
         return names.map(archives.member_id)
 
     return table(spark, sf, "documents").select("doc_id", named(name).alias("arxiv_id"))
+
+
+# --- guarded builds ------------------------------------------------------------------------------------------------------
+
+
+def _corpus(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Records with their tallies and listed rollouts, and the rollouts as files: one of its own for each third of the records, and one that lacks some."""
+    from .catalog import _tally
+
+    r = S.rollouts(spark, sf).withColumn("output", F.concat(F.lit("answer "), "candidate"))
+    u = F.col("uid").cast("long")
+    lists = r.groupBy("uid").agg(F.collect_list("rollout_uid").alias("rollout_uids"))
+    corpus = _tally(spark, sf).join(lists, "uid").select("uid", F.concat(F.lit("Statement of record "), "uid").alias("statement"), F.concat(F.lit("p"), (u % 40).cast("string")).alias("arxiv_id"), "rollout_uids", F.concat(F.lit("f"), (u % 3).cast("string")).alias("routed"), "n_correct", "n_wrong", "n_degenerate")
+    files = r.withColumn("file", F.concat(F.lit("f"), (u % 3).cast("string")))
+    return corpus, files.unionByName(r.where("sample_idx % 2 = 0").withColumn("file", F.lit("other")))
+
+
+def _evaluation(spark) -> builds.Evaluation:
+    papers = spark.range(15).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("arxiv_id"))
+    return builds.Evaluation(papers, spark.range(1).select(F.lit("none").alias("uid")), spark.range(1).select(F.lit("A statement of the evaluation").alias("statement")))
+
+
+def _built(spark, sf) -> DataFrame:
+    corpus, files = _corpus(spark, sf)
+    chosen = corpus.where("n_correct > 0 and cast(uid as bigint) % 40 >= 15 and cast(uid as bigint) % 2 = 0").select("uid")
+    return builds.build(corpus, files, chosen, chosen.limit(0), _evaluation(spark), "You solve problems.", "capk", 3, 7)
+
+
+_BUILT = "b AS (SELECT ro.uid, rollout_uid FROM ro WHERE verdict = 'correct' AND CAST(uid AS BIGINT) % 40 >= 15 AND CAST(uid AS BIGINT) % 2 = 0 QUALIFY row_number() OVER (PARTITION BY uid ORDER BY sha256('7:' || uid || ':' || rollout_uid)) <= 3)"
+
+
+@query("r56_build", with_("ro") + f", {_BUILT} SELECT uid, rollout_uid, 'Statement of record ' || uid AS asked FROM b")
+def _(spark, sf):
+    return _built(spark, sf).select("uid", "rollout_uid", F.col("prompt")[1]["content"].alias("asked"))
+
+
+@query("r55_manifest", with_("ro") + f", {_BUILT} SELECT count(*) AS rows, count(DISTINCT uid) AS uids, count(DISTINCT CAST(uid AS BIGINT) % 40) AS papers, 'capk' AS policy FROM b")
+def _(spark, sf):
+    return builds.manifest(_built(spark, sf), "capk", 7).select("rows", "uids", "papers", "policy")
+
+
+@query("g8_harvest_problems", with_("ro", "ta") + "SELECT uid, CASE WHEN CAST(uid AS BIGINT) % 5 = 0 THEN 'no file accounts for it' WHEN CAST(uid AS BIGINT) % 5 = 1 THEN 'tallies differ' WHEN n_correct = 0 THEN 'no correct rollout' WHEN CAST(uid AS BIGINT) % 5 = 2 THEN 'an empty output' END AS problem FROM ta WHERE CAST(uid AS BIGINT) % 5 < 3 OR n_correct = 0")
+def _(spark, sf):
+    corpus, files = _corpus(spark, sf)
+    u = F.col("uid").cast("long")
+    records = corpus.withColumn("n_wrong", F.when(u % 5 == 1, F.col("n_wrong") + 1).otherwise(F.col("n_wrong")))
+    routed = corpus.select("uid", F.when(u % 5 != 0, F.col("routed")).alias("file"))
+    return builds.harvest_problems(records, routed, files.withColumn("output", F.when(u % 5 != 2, F.col("output")).otherwise("")))
+
+
+@query(
+    "r66_written_problems",
+    with_("ro") + """, g AS (SELECT CAST(uid AS BIGINT) % 10 AS m, CAST(uid AS BIGINT) AS k, uid, rollout_uid FROM ro JOIN customer ON uid = CAST(c_custkey AS VARCHAR) WHERE verdict = 'correct')
+SELECT 'malformed' AS guard, count(*) AS rows FROM g WHERE m BETWEEN 2 AND 4 UNION ALL SELECT 'not verified', count(*) FROM g WHERE m < 2 UNION ALL
+SELECT 'evaluation paper', 0 UNION ALL SELECT 'evaluation uid', count(*) FROM g WHERE uid IN (SELECT CAST(item_id AS VARCHAR) FROM benchmark) UNION ALL
+SELECT 'evaluation statement', count(*) FROM g JOIN customer ON k = c_custkey WHERE k IN (SELECT item_id FROM benchmark) UNION ALL SELECT 'repeated rollout', 0 UNION ALL
+SELECT 'weights', count(*) FROM (SELECT uid FROM g GROUP BY uid HAVING count(*) > 5)""",
+)
+def _(spark, sf):
+    from .catalog import _bad_chat
+
+    ids = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("uid"))
+    asked = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("uid"), F.col("c_name").alias("statement")).join(ids, "uid").select("statement")
+    e = builds.Evaluation(spark.range(1).select(F.lit("no paper").alias("arxiv_id")), ids, asked)
+    return builds.written_problems(_bad_chat(spark, sf), e, "capk", 5)
+
+
+@query("r64_hinted_build", "SELECT CAST(item_id AS VARCHAR) AS uid, 'hinted' AS lane FROM benchmark UNION ALL SELECT uid, 'anchor' FROM (SELECT CAST(c_custkey AS VARCHAR) AS uid FROM customer WHERE c_custkey NOT IN (SELECT item_id FROM benchmark) ORDER BY sha256('a:' || CAST(c_custkey AS VARCHAR)), 1 LIMIT 20)")
+def _(spark, sf):
+    from .catalog import training as t
+
+    b = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("uid"), F.col("text").alias("question"))
+    verified = b.select("*", F.lit("o").alias("output"), F.lit("sha").alias("proof_raw_sha"), F.lit(0).alias("sample_idx"), F.lit(1).alias("k_tried"), F.lit("p99").alias("arxiv_id"))
+    name = lambda role, c: F.array(t.message(role, c))
+    anchors = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("uid"), name("user", F.col("c_name")).alias("prompt"), name("assistant", F.lit("done")).alias("completion"), F.lit("p99").alias("arxiv_id"))
+    rows = builds.hinted_build(verified, b, b.select("uid", F.lit("solved").alias("label")), anchors, 20, _evaluation(spark), "You solve problems.", "a", "HINT:")
+    return rows.select("uid", "lane")
+
+
+@query("g14_bundle_problems", "SELECT uid, problem FROM (SELECT CAST(item_id AS VARCHAR) AS uid, CASE WHEN item_id % 4 = 0 THEN 'a blank field' WHEN item_id % 4 = 1 THEN 'no hint' WHEN item_id % 4 = 2 THEN 'repeated' END AS problem FROM benchmark) WHERE problem IS NOT NULL")
+def _(spark, sf):
+    n = F.col("item_id") % 4
+    rows = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("uid"), F.col("text").alias("statement"), F.when(n == 0, "  ").otherwise("s").alias("solution"), F.concat("text", F.when(n == 1, "").otherwise(" HINT: s")).alias("prompt"), F.explode(F.when(n == 2, F.array(F.lit(0), F.lit(0))).otherwise(F.array(F.lit(0)))).alias("sample_idx"))
+    return builds.bundle_problems(rows, marker="HINT:")
+
+
+@query("r51_rollouts_path", "SELECT doc_id, 'runs/' || lang || '/' || doc_id || '/_progress/rollouts.jsonl' AS path FROM documents")
+def _(spark, sf):
+    source = F.concat(F.lit("runs/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit("/results.jsonl"))
+    return table(spark, sf, "documents").select("doc_id", builds.rollouts_path(source).alias("path"))
