@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,5 +75,19 @@ def mount(spark: SparkSession, folder: str, schema: str, stamps: Mapping[str, st
     return out, report
 
 
+def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One JSON-lines, JSON or CSV file of raw rows, with default_source: the file's name without its suffix. CSV columns go by their headers."""
+    stem, suffix = re.fullmatch(r"(?:.*/)?([^/]*?)\.([A-Za-z]+)", path).groups()
+    names = [f.split()[0] for f in schema.split(", ")]
+    if suffix.lower() == "jsonl":
+        rows = parse(read_lines(spark, path), schema)
+    elif suffix.lower() == "json":
+        rows = read_json_array(spark, path, schema)
+    else:
+        raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+        rows = raw.select(*[(F.col(f"`{n}`") if n in raw.columns else F.lit(None)).cast(kind).alias(n) for n, kind in (f.split() for f in schema.split(", "))])
+    return rows.select(*names).withColumn("default_source", F.lit(stem))
+
+
 def duplicate_uids(rows: DataFrame) -> DataFrame:
     return rows.groupBy("uid").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,12 +30,24 @@ def judge_sheet(spark: SparkSession, path: str) -> DataFrame:
     return last_wins(parse(read_lines(spark, path), JUDGE_SHEET).drop("path", "terminated"), ["uid", "sample_id"], ["line_no"]).drop("line_no")
 
 
-def rollout_file(spark: SparkSession, path: str) -> DataFrame:
+def rollout_file(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """The last line of each (uid, rollout_uid), with the file."""
     rows = parse(read_lines(spark, path), ROLLOUTS).withColumnRenamed("path", "file").drop("terminated")
     return last_wins(rows, ["file", "uid", "rollout_uid"], ["line_no"])
 
 
+def rollout_registry(spark: SparkSession, routed: Sequence[str], patterns: Sequence[str] = ()) -> DataFrame:
+    """Every candidate file's rollouts, with the file: the routed ones and those that a pattern finds, each file once. Files that are not there are none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    found: set[str] = set()
+    for pattern in [*routed, *patterns]:
+        place = hadoop.Path(pattern)
+        found |= {f.getPath().toString() for f in place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place) or []}
+    if not found:
+        return spark.createDataFrame([], f"file string, line_no long, {ROLLOUTS}")
+    return rollout_file(spark, sorted(found))
+
+
 def checkpoint(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Torn or broken lines are left out."""
     return parse(read_lines(spark, path), schema, "skip")

@@ -91,6 +91,23 @@ def test_archives(spark, tmp_path):
     assert archives.read_members(spark, str(tmp_path / "c.tar"), asked).count() == 1
 
 
+def test_rows_name_their_file(spark, tmp_path):
+    (tmp_path / "one.jsonl").write_text('{"statement": "s", "n": 1}\n')
+    (tmp_path / "two.json").write_text('{"records": [{"statement": "t", "n": 2}]}')
+    (tmp_path / "three.csv").write_text('n,statement\n3,"u, v"\n')
+    got = [tuple(mount.read_rows(spark, str(tmp_path / f), "statement string, n int, other string").first()) for f in ("one.jsonl", "two.json", "three.csv")]
+    assert got == [("s", 1, None, "one"), ("t", 2, None, "two"), ("u, v", 3, None, "three")]
+
+
+def test_rollout_registry(spark, tmp_path):
+    for name in ("a/_progress", "b/_progress"):
+        (tmp_path / name).mkdir(parents=True)
+        (tmp_path / name / "rollouts.jsonl").write_text('{"uid": "u", "rollout_uid": "r", "verdict": "wrong"}\n{"uid": "u", "rollout_uid": "r", "verdict": "correct"}\n')
+    got = sheets.rollout_registry(spark, [str(tmp_path / "a/_progress/rollouts.jsonl"), str(tmp_path / "gone/rollouts.jsonl")], [str(tmp_path / "*/_progress/rollouts.jsonl")])
+    assert sorted((r.file.split("/")[-3], r.verdict) for r in got.collect()) == [("a", "correct"), ("b", "correct")]
+    assert sheets.rollout_registry(spark, [str(tmp_path / "none")]).count() == 0
+
+
 def test_sheets(spark, tmp_path):
     (tmp_path / "s.jsonl").write_text('{"uid": "a", "label": "band"}\n{"uid": "a", "label": "solved"}\n')
     assert sheets.calibration_sheet(spark, str(tmp_path / "s.jsonl")).first().label == "solved"
