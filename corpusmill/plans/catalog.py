@@ -524,11 +524,15 @@ def _(spark, sf):
     return S.statements(spark, sf).select("doc_id", out["kind"].alias("kind"), out["at"].cast("long").alias("at"))
 
 
-@query("x5_verifier")
-def _(spark, sf):
-    n = F.col("doc_id") % 20
-    truth = F.concat(F.lit("$\\frac{"), (n * 2).cast("string"), F.lit("}{4} + x$"))
-    candidate = F.concat(F.lit("x + "), n.cast("string"), F.lit("/2"))
+@query("x5_verifier", "SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'number' ELSE 'expr' END AS tier, doc_id % 2 = 0 AS correct FROM documents")
+def _(spark, sf):
+    n, kind, right = F.col("doc_id") % 20, F.col("doc_id") % 5, F.col("doc_id") % 2 == 0
+    k, other = n.cast("string"), (n + 1).cast("string")
+    own = F.when(right, k).otherwise(other)
+    truth = F.when(kind == 0, F.concat(F.lit("$\\frac{"), (n * 2).cast("string"), F.lit("}{4} + x$"))).when(kind == 1, F.concat(F.lit("\\[ y = (x+1)^2 + "), k, F.lit(" \\]")))
+    truth = truth.when(kind == 2, F.concat(F.lit("2^{n+"), k, F.lit("}"))).when(kind == 3, F.concat(F.lit("\\sin(2x) + "), k)).otherwise(F.concat(F.lit("\\sqrt{8} + "), k))
+    candidate = F.when(kind == 0, F.concat(F.lit("x + "), own, F.lit("/2"))).when(kind == 1, F.concat(F.lit("x^2 + 2x + 1 + "), own))
+    candidate = candidate.when(kind == 2, F.concat(F.lit("2^n \\cdot 2^{"), own, F.lit("}"))).when(kind == 3, F.concat(own, F.lit(" + sin(x+x)"))).otherwise(F.concat(own, F.lit(" + 2\\sqrt{2}")))
     return table(spark, sf, "documents").select("doc_id", verify.truth_tier(truth).alias("tier"), verify.verify_answer(candidate, truth).alias("correct"))
 
 
