@@ -1,14 +1,14 @@
 """Near copies for the SimHash stage: texts whose five-word shingles have a Jaccard similarity of 4/5 or more, and their components.
 
-A radius of a few bits finds only the nearest of such texts, and one wide enough for all of them (about 10 bits are expected
-to differ, up to 24) leaves a vantage-point tree nothing to prune. So shingles bring the candidates together, SimHash
-fingerprints and counts of shingles by bucket thin them, and the shingles themselves decide.
+SimHash over vantage-point trees links the nearest of them, as in op1. A radius wide enough for all (about 10 bits are expected
+to differ, up to 24) leaves a tree nothing to prune. So shingles bring the rest of the candidates together, fingerprints and
+counts of shingles by bucket thin them, and the shingles themselves decide on the trees' links as on all others.
 
 With the shingles of all texts in one total order, two texts of similarity 4/5 or more share a shingle among the first
 n - ceil(4n/5) + 1 of each (n: its distinct shingles). So texts that share such a shingle are the only candidates, and none is
 lost. Any order is right; shingles that are frequent in a bounded sample come last, which keeps the lists of texts short.
-A list of more than LIST texts is dealt to lists of pairs of its blocks. A list's texts are first checked along a random
-chain; then each pair of a list that lies in two components is checked: pairs inside one component change nothing and are
+A list of more than LIST texts is dealt to lists of pairs of its blocks. The trees' links and a random chain
+through each list are checked first; then each pair of a list that lies in two components is checked: pairs inside one component change nothing and are
 left out, so that large groups don't cost their square.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, bit_table, bounded_batches, discard, materialize, passes, release
 from .components import components
-from .simhash import SEED, shingles, vote
+from .simhash import SEED, linked, shingles, vote
 
 WORDS = 5
 #: Rows in the sample, its frequent shingles (in so many sampled rows or more), and how many of those are told apart.
@@ -33,6 +33,8 @@ BUCKETS = 256
 BITS = 24
 #: Texts of a block. Two blocks meet in one list, so a list has twice as many at most.
 LIST = 4096
+#: Bits that may differ in a link of the vantage-point trees: op1's.
+RADIUS = 3
 
 
 def _tokens(text: bytes | None) -> list[bytes]:
@@ -98,6 +100,18 @@ def _likely(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.where(f"5 * least(na, nb) >= 4 * greatest(na, nb) and bit_count(fa ^ fb) <= {BITS}").select("a", "b")
 
 
+def _tree_links(indexed: DataFrame) -> DataFrame:
+    """indexed(key, fp) -> (a, b): texts joined as their fingerprints are by the vantage-point trees; equal fingerprints meet at one text."""
+    texts = indexed.select("key", "fp").distinct()
+    lead = materialize(texts.groupBy("fp").agg(F.min("key").alias("key"), F.max("key").alias("last")), "nearleads")
+    side = lambda c: lead.select(F.col("fp").alias(c), F.col("key").alias(f"k{c}"))
+    met = linked(lead.select("fp"), RADIUS).join(side("a"), "a").join(side("b"), "b").selectExpr("ka as a", "kb as b")
+    same = texts.join(lead.where("key < last").selectExpr("fp", "key as lead"), "fp").where("key <> lead").selectExpr("lead as a", "key as b")
+    links = materialize(met.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "neartrees")
+    discard(lead)
+    return links
+
+
 def _across(lists: DataFrame) -> DataFrame:
     """lists(members: key, root, n, fp, sketch) -> (a, b): pairs of a list in two components, where sizes, fingerprints and bucket counts allow the similarity.
 
@@ -193,13 +207,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     wanted = materialize(indexed.join(keys, "key").groupBy("key").agg(F.first("n").alias("n"), F.first("fp").alias("fp")), "nearwanted")
     order = lists.selectExpr("transform(array_sort(transform(members, k -> struct(xxhash64(k, h) as o, k as k))), x -> x.k) as m")
     chain = order.select(F.explode(F.expr("transform(sequence(0, size(m) - 2), i -> struct(least(m[i], m[i + 1]) as a, greatest(m[i], m[i + 1]) as b))")).alias("p")).select("p.*").distinct()
-    edges = _edges(_likely(chain, wanted), rows)
+    trees = _tree_links(indexed)
+    edges = _edges(_likely(chain.unionByName(trees).distinct(), wanted), rows)
     roots = materialize(components(edges).toDF("key", "root"), "nearroots")
     known = wanted.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "n", "fp")
     labelled = materialize(lists.select("h", F.explode("members").alias("key")).join(known, "key"), "nearlabels")
     apart = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
     apart = materialize(labelled.join(apart, "h"), "nearapart")
-    discard(lists, wanted, labelled)
+    discard(lists, trees, wanted, labelled)
     sketches = indexed.select("key", "sketch").join(apart.select("key").distinct(), "key").groupBy("key").agg(F.min("sketch").alias("sketch"))
     members = apart.join(sketches, "key").groupBy("h").agg(F.collect_list(F.struct("key", "root", "n", "fp", "sketch")).alias("members"))
     more = _edges(_across(members.select("members")), rows)

@@ -4,10 +4,11 @@ import random
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from corpusmill.llm import decontaminate, entry, nearcopies, toxicity
+from corpusmill.llm import decontaminate, entry, nearcopies, simhash, toxicity
 from corpusmill.llm.common import materialize
 from tests.llm.test_operators import DOC, ODD, brute_cut, check_packing, ids_of
 
@@ -130,3 +131,42 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
         monkeypatch.setattr(nearcopies, "LIST", block)
         kept = corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()
         assert sorted(r.doc_id for r in kept) == sorted(min(g) for g in groups)
+
+
+def test_near_copies_are_linked_by_trees(spark, monkeypatch):
+    rng, found = random.Random(3), []
+    fps = [rng.getrandbits(64) for _ in range(300)]
+    for fp in list(fps):  # chains of texts at one to five bits, and texts of equal fingerprints
+        for _ in range(rng.randrange(4)):
+            for bit in rng.sample(range(64), rng.randrange(6)):
+                fp ^= 1 << bit
+            fps.append(fp)
+    rows = [(k, int(np.uint64(fp).view(np.int64))) for k, fp in enumerate(fps)]
+    near = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= simhash_radius()]
+    links = nearcopies._tree_links(spark.createDataFrame(rows + rows[:9], "key long, fp long")).collect()
+    assert all(r.a < r.b for r in links) and partition(len(fps), near) == partition(len(fps), links)
+
+    trees, likely = nearcopies._tree_links, nearcopies._likely
+    monkeypatch.setattr(nearcopies, "_tree_links", lambda indexed: found.append(trees(indexed)) or found[-1])
+    monkeypatch.setattr(nearcopies, "_likely", lambda pairs, wanted: found.append((set(found[0].collect()), set(pairs.collect()))) or likely(pairs, wanted))
+    base = " ".join(f"w{k}" for k in range(300))
+    texts = [base, f"{base} more", "another text of no copies at all"]
+    df = spark.createDataFrame([(d, t, None, None, len(t)) for d, t in enumerate(texts)], DOC)
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()) == [0, 2]
+    linked, checked = found[1]
+    assert linked and linked <= checked
+
+
+def simhash_radius():
+    return simhash.near_duplicates.__defaults__[1]
+
+
+def partition(n, pairs):
+    label = list(range(n))
+    for a, b in pairs:
+        old, new = label[a], label[b]
+        label = [new if x == old else x for x in label]
+    groups = defaultdict(set)
+    for i, x in enumerate(label):
+        groups[x].add(i)
+    return sorted(map(sorted, groups.values()))
