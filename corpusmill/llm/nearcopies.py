@@ -7,9 +7,10 @@ counts of shingles by bucket thin them, and the shingles themselves decide on th
 With the shingles of all texts in one total order, two texts of similarity 4/5 or more share a shingle among the first
 n - ceil(4n/5) + 1 of each (n: its distinct shingles). So texts that share such a shingle are the only candidates, and none is
 lost. Any order is right; shingles that are frequent in a bounded sample come last, which keeps the lists of texts short.
-A list of more than LIST texts is dealt to lists of pairs of its blocks. The trees' links and a random chain
-through each list are checked first; then each pair of a list that lies in two components is checked: pairs inside one component change nothing and are
-left out, so that large groups don't cost their square.
+A list of more than LIST texts is dealt to lists of pairs of its blocks. The trees' links and a random chain through each list
+are checked first; pairs inside a component that they make change nothing and are left out. Of the other pairs that may hold a
+list gives a spanning forest, never the pairs themselves; the texts that such forests chain meet once, with their shingles,
+and give a spanning forest of the pairs that do hold. So no step makes rows by the square of a group's size.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, bit_table, bounded_batches, discard, materialize, passes, release
 from .components import components
-from .simhash import SEED, linked, shingles, vote
+from .simhash import SEED, _forest, linked, shingles, vote
 
 WORDS = 5
 #: Rows in the sample, its frequent shingles (in so many sampled rows or more), and how many of those are told apart.
@@ -35,6 +36,8 @@ BITS = 24
 LIST = 4096
 #: Bits that may differ in a link of the vantage-point trees: op1's.
 RADIUS = 3
+#: Shingles of a block of candidates that meet with their shingles; two blocks meet in one group.
+GROUP = 1 << 18
 
 
 def _tokens(text: bytes | None) -> list[bytes]:
@@ -113,9 +116,9 @@ def _tree_links(indexed: DataFrame) -> DataFrame:
 
 
 def _across(lists: DataFrame) -> DataFrame:
-    """lists(members: key, root, n, fp, sketch) -> (a, b): pairs of a list in two components, where sizes, fingerprints and bucket counts allow the similarity.
+    """lists(members: key, root, n, fp, sketch) -> (a, b): a spanning forest, as stars, of a list's pairs in two components whose sizes, fingerprints and bucket counts allow the similarity.
 
-    Two texts share no more shingles than the sum of the lesser counts of each bucket.
+    Two texts share no more shingles than the sum of the lesser counts of each bucket. a and b need not be such a pair themselves.
     """
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -124,11 +127,13 @@ def _across(lists: DataFrame) -> DataFrame:
             for members in batch.column(0):
                 own = members.values
                 key, root, n, fp = (np.asarray(own.field(c)) for c in range(4))
-                fp = fp.view(np.uint64)
                 counts = np.frombuffer(b"".join(own.field(4).to_pylist()), "<u2").reshape(-1, BUCKETS)
+                order = np.argsort(key)  # stars of lists with the same least text are the same rows
+                key, root, n, fp, counts = key[order], root[order], n[order], fp[order].view(np.uint64), counts[order]
                 full = counts.max(axis=1, initial=0) == 65_535
                 found, place, size = np.unique(root, return_inverse=True, return_counts=True)
                 largest = int(size.argmax())
+                label, held, pairs = np.arange(len(key)), [], 0
                 for k in np.nonzero(place != largest)[0].tolist():
                     other = (place == largest) | (place > place[k])
                     other &= (place != place[k]) & (5 * np.minimum(n, n[k]) >= 4 * np.maximum(n, n[k]))
@@ -136,12 +141,81 @@ def _across(lists: DataFrame) -> DataFrame:
                     at = at[np.bitwise_count(fp[at] ^ fp[k]) <= BITS]
                     shared = np.minimum(counts[at], counts[k]).sum(axis=1, dtype=np.int64)
                     at = at[(9 * shared >= 4 * (n[at] + n[k])) | full[at] | full[k]]
-                    if len(at):
-                        yield arrow_rows(out, [np.minimum(key[at], key[k]), np.maximum(key[at], key[k])])
+                    held.append((np.full(len(at), k), at))
+                    pairs += len(at)
+                    if pairs > len(key):  # joining costs as much as the texts: never for fewer pairs
+                        label, held, pairs = _forest(*map(np.concatenate, zip(*held, strict=True)), label), [], 0
+                if pairs:
+                    label = _forest(*map(np.concatenate, zip(*held, strict=True)), label)
+                at = np.nonzero(label != np.arange(len(key)))[0]
+                if len(at):
+                    yield arrow_rows(out, [key[label[at]], key[at]])
 
     return lists.mapInArrow(each, "a long, b long").distinct()
 
 
+def _joined(groups: DataFrame) -> DataFrame:
+    """groups(members: key, root, n, fp, grams) -> (a, b): a spanning forest of a group's pairs in two components that have a similarity of 4/5 or more.
+
+    Texts near the middle of the group come first, so that what they join is not compared any more.
+    """
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def each(batches):
+        for batch in batches:
+            for members in batch.column(0):
+                own = members.values
+                key, root, n, fp = (np.asarray(own.field(c)) for c in range(4))
+                fp, ends = fp.view(np.uint64), np.cumsum(n)
+                name = np.unique(np.asarray(own.field(4).flatten()), return_inverse=True)[1]
+                label = np.unique(root, return_inverse=True)[1]
+                left, mine, a, b = np.ones(len(key), dtype=bool), np.zeros(len(name), dtype=bool), [], []
+                for k in np.argsort(np.bitwise_count(fp ^ np.uint64(vote(fp))), kind="stable").tolist():
+                    left[k] = False
+                    at = np.flatnonzero(left & (label != label[k]) & (5 * np.minimum(n, n[k]) >= 4 * np.maximum(n, n[k])))
+                    at = at[np.bitwise_count(fp[at] ^ fp[k]) <= BITS]
+                    if not len(at):
+                        continue
+                    grams_of = lambda i: name[ends[i] - n[i] : ends[i]]  # noqa: B023, E731
+                    mine[grams_of(k)] = True
+                    hits = mine[np.concatenate([grams_of(i) for i in at])]
+                    mine[grams_of(k)] = False
+                    shared = np.add.reduceat(hits, np.cumsum(n[at]) - n[at], dtype=np.int64)
+                    at = at[9 * shared >= 4 * (n[at] + n[k])]
+                    met, first = np.unique(label[at], return_index=True)
+                    a += [key[k]] * len(first)
+                    b += key[at[first]].tolist()
+                    label[np.isin(label, met)] = label[k]
+                if a:
+                    yield arrow_rows(out, [np.minimum(a, b), np.maximum(a, b)])
+
+    return groups.mapInArrow(each, "a long, b long").distinct()
+
+
+def _met(forest: DataFrame, known: DataFrame, rows: DataFrame) -> DataFrame:
+    """forest(a, b) of candidates, known(key, root, n, fp) -> (a, b), written: the edges that join roots.
+
+    Candidates of one component of the forest meet with their shingles, in groups of pairs of blocks where they are many.
+    """
+    chained = materialize(components(forest).toDF("key", "c"), "nearchained")
+    sets = _sets(rows, chained.select("key"))
+    met = materialize(chained.join(known, "key"), "nearmet")
+    blocks = met.groupBy("c").agg(F.expr(f"cast(ceil(sum(n) / {GROUP}) as int)").alias("blocks"))
+    dealt = _dealt(met.join(blocks, "c"), "c", "key", "root", "n", "fp")
+    groups = dealt.join(sets, "key").groupBy("c", "i", "j").agg(F.collect_list(F.struct("key", "root", "n", "fp", "grams")).alias("members"))
+    edges = materialize(_joined(groups.select("members")), "nearedges")
+    discard(chained, sets, met)
+    release(rows.sparkSession)
+    return edges
+
+
+def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows(key, blocks, ...) -> the columns, i, j: each row in every pair of blocks that its own is in."""
+    own = rows.withColumn("i", F.expr("cast(pmod(xxhash64(key), blocks) as int)"))
+    own = own.select(*columns, "i", F.explode(F.expr("sequence(0, blocks - 1)")).alias("j"))
+    return own.select(*columns, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+
+
 def _sets(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, grams) of the texts whose keys are wanted, and of a few others that the bit table lets through."""
     wanted = bit_table(keys.select(F.col("key").alias("h")))
@@ -197,8 +271,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     posted = indexed.select("key", "prefix").mapInArrow(post, "key long, g long").distinct()
     posted = materialize(posted.join(shared.hint("shuffle_hash"), "g", "left_semi"), "nearposted")
     blocks = posted.groupBy("g").agg(F.expr(f"cast(ceil(count(1) / {LIST}) as int)").alias("blocks"))
-    met = posted.join(blocks, "g").withColumn("i", F.expr("cast(pmod(xxhash64(key), blocks) as int)"))
-    dealt = met.select("g", "key", "i", F.explode(F.expr("sequence(0, blocks - 1)")).alias("j")).select("g", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "key")
+    dealt = _dealt(posted.join(blocks, "g"), "g", "key")
     lists = dealt.groupBy("g", "i", "j").agg(F.sort_array(F.collect_list("key")).alias("members")).where("size(members) > 1")
     lists = materialize(lists.select(F.xxhash64("members").alias("h"), "members").dropDuplicates(["h"]), "nearlists")
     discard(shared, posted)
@@ -214,13 +287,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     labelled = materialize(lists.select("h", F.explode("members").alias("key")).join(known, "key"), "nearlabels")
     apart = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
     apart = materialize(labelled.join(apart, "h"), "nearapart")
-    discard(lists, trees, wanted, labelled)
+    discard(lists, trees, labelled)
     sketches = indexed.select("key", "sketch").join(apart.select("key").distinct(), "key").groupBy("key").agg(F.min("sketch").alias("sketch"))
     members = apart.join(sketches, "key").groupBy("h").agg(F.collect_list(F.struct("key", "root", "n", "fp", "sketch")).alias("members"))
-    more = _edges(_across(members.select("members")), rows)
+    forest = materialize(_across(members.select("members")), "nearforest")
+    more = _met(forest, known, rows)
     if not more.isEmpty():
         roots = materialize(components(edges.unionByName(more)).toDF("key", "root"), "nearroots")
-    discard(apart, edges, more)
+    discard(apart, edges, forest, more, wanted)
     release(spark)
     return indexed.join(roots, "key", "left").select("doc_id", "text_hash", F.coalesce("root", "key").alias("root"))
 

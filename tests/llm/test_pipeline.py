@@ -170,3 +170,41 @@ def partition(n, pairs):
     for i, x in enumerate(label):
         groups[x].add(i)
     return sorted(map(sorted, groups.values()))
+
+
+def star_texts(rng, spokes=60):
+    """A text and variants of it that are alike to it only: between two of them the similarity is just below 4/5."""
+    base = [f"w{k}" for k in range(2004)]
+    texts = [" ".join(base)]
+    for v in range(spokes):
+        own = list(base)
+        for at in range(26):
+            own[at * 77 + rng.randrange(70)] = f"v{v}x{at}"
+        texts.append(" ".join(own))
+    return texts
+
+
+def test_candidates_of_a_group_do_not_make_its_square(spark):
+    members = []
+    for text in star_texts(random.Random(8)):
+        tokens = nearcopies._tokens(text.encode())
+        own = nearcopies.grams(tokens)
+        signed = lambda x: int(np.uint64(x).view(np.int64))
+        key = signed(nearcopies._key(tokens))
+        members.append((key, key, len(own), signed(nearcopies.vote(own.view(np.uint64))), bytearray(nearcopies._sketch(own)), own.tolist()))
+    fields = "key: bigint, root: bigint, n: bigint, fp: bigint"
+    lists = spark.createDataFrame([([m[:5] for m in members],)], f"members array<struct<{fields}, sketch: binary>>")
+    forest = nearcopies._across(lists).collect()
+    assert len(forest) == len(members) - 1  # its 61 texts are one group of candidates; their pairs are 1830
+    groups = spark.createDataFrame([([m[:4] + m[5:] for m in members],)], f"members array<struct<{fields}, grams: array<bigint>>>")
+    assert {(r.a, r.b) for r in nearcopies._joined(groups).collect()} == {(min(m[0], members[0][0]), max(m[0], members[0][0])) for m in members[1:]}
+
+
+@pytest.mark.parametrize("group", [nearcopies.GROUP, 20_000])
+def test_stars_of_near_copies(spark, monkeypatch, group):
+    monkeypatch.setattr(nearcopies, "GROUP", group)  # candidates in one group, and in pairs of blocks
+    texts = star_texts(random.Random(8))
+    for rows in ([*enumerate(texts)], [*enumerate(texts)][1:]):  # without their middle the variants are no near copies
+        df = spark.createDataFrame([(d, t, None, None, len(t)) for d, t in rows], DOC)
+        kept = corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()
+        assert sorted(r.doc_id for r in kept) == sorted(min(g) for g in near_groups(rows))
