@@ -10,7 +10,8 @@ lost. Any order is right; shingles that are frequent in a bounded sample come la
 A list of more than LIST texts is dealt to lists of pairs of its blocks. The trees' links and a random chain through each list
 are checked first; pairs inside a component that they make change nothing and are left out. Of the other pairs that may hold a
 list gives a spanning forest, never the pairs themselves; the texts that such forests chain meet once, with their shingles,
-and give a spanning forest of the pairs that do hold. So no step makes rows by the square of a group's size.
+and give a spanning forest of the pairs that do hold. So pairs never make rows by the square of a group's size; only a text of
+a group of many blocks is repeated for each of them.
 """
 
 from __future__ import annotations
