@@ -12,6 +12,10 @@ are checked first; pairs inside a component that they make change nothing and ar
 list gives a spanning forest, never the pairs themselves; the texts that such forests chain meet once, with their shingles,
 and give a spanning forest of the pairs that do hold. So pairs never make rows by the square of a group's size; only a text of
 a group of many blocks is repeated for each of them.
+
+Buckets grow with the text, as counts in a fixed number of them tell nothing of long texts: from some 6,600 shingles in 256
+buckets on, unlike texts have the shared counts of near copies, and candidates by chance chain all long texts into one group.
+Shingles travel only to pairs that the counts allow, and counts only to texts that a list's numbers and fingerprints allow.
 """
 
 from __future__ import annotations
@@ -29,8 +33,10 @@ from .simhash import SEED, _forest, linked, shingles, vote
 WORDS = 5
 #: Rows in the sample, its frequent shingles (in so many sampled rows or more), and how many of those are told apart.
 SAMPLE, FREQUENT, MOST = 5_000, 10, 65_536
-#: Buckets of a text's shingle counts, from which an upper bound of two texts' shared shingles is read.
-BUCKETS = 256
+#: Buckets at least of a text's shingle counts, from which an upper bound of two texts' shared shingles is read, and shingles to a bucket at most.
+BUCKETS, LOAD = 256, 4
+#: A count that stands for more, and bucket counts that are compared at once.
+FULL_COUNT, AT_ONCE = 255, 1 << 22
 #: Bits that may differ: of texts of similarity 4/5 about 10 in 64 do, more than 24 in one pair of tens of thousands.
 BITS = 24
 #: Texts of a block. Two blocks meet in one list, so a list has twice as many at most.
@@ -87,7 +93,27 @@ def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(own: np.ndarray) -> bytes:
-    return np.minimum(np.bincount(own & (BUCKETS - 1), minlength=BUCKETS), 65_535).astype("<u2").tobytes()
+    """Counts of shingles by bucket; texts whose numbers of shingles allow the similarity have as many buckets, or twice as many."""
+    buckets = BUCKETS << (max(len(own) - 1, 0) // (LOAD * BUCKETS)).bit_length()
+    return np.minimum(np.bincount(own & (buckets - 1), minlength=buckets), FULL_COUNT).astype(np.uint8).tobytes()
+
+
+def _counts(sketches: list[bytes]) -> np.ndarray:
+    """A row for each of some sketches of one width."""
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+
+
+def _may_hold(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """A flag for each row of counts a and b (b: one row, or as many): false only where the texts have a similarity below 4/5.
+
+    Two texts share no more shingles than the sum of the lesser counts of each bucket.
+    """
+    full = (a.max(axis=1) == FULL_COUNT) | (b.max(axis=1) == FULL_COUNT)
+    a, b = a.astype(np.uint16), b.astype(np.uint16)
+    while a.shape[1] != b.shape[1]:
+        half = max(a.shape[1], b.shape[1]) // 2
+        a, b = (x[:, :half] + x[:, half:] if x.shape[1] > half else x for x in (a, b))
+    return full | (9 * np.minimum(a, b).sum(axis=1, dtype=np.int64) >= 4 * (na + nb))
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -98,10 +124,26 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose numbers of shingles and fingerprints allow the similarity."""
+    """The pairs (a, b) whose numbers of shingles, fingerprints and bucket counts allow the similarity."""
     side = lambda c: wanted.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("fp").alias(f"f{c}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b")
-    return met.where(f"5 * least(na, nb) >= 4 * greatest(na, nb) and bit_count(fa ^ fb) <= {BITS}").select("a", "b")
+    met = met.where(f"5 * least(na, nb) >= 4 * greatest(na, nb) and bit_count(fa ^ fb) <= {BITS}").select("a", "b", "na", "nb")
+    counts = lambda c: wanted.select(F.col("key").alias(c), F.col("sketch").alias(f"s{c}"))
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def each(batches):
+        for batch in batches:
+            a, b, na, nb = (np.asarray(batch.column(c)) for c in ("a", "b", "na", "nb"))
+            sa, sb = (batch.column(c).to_pylist() for c in ("sa", "sb"))
+            widths = np.array([(len(x), len(y)) for x, y in zip(sa, sb, strict=True)]).reshape(-1, 2)
+            for wide in np.unique(widths, axis=0):
+                at = np.flatnonzero((widths == wide).all(axis=1))
+                step = max(1, AT_ONCE // int(wide.max()))
+                for own in (at[k : k + step] for k in range(0, len(at), step)):
+                    own = own[_may_hold(_counts([sa[i] for i in own]), _counts([sb[i] for i in own]), na[own], nb[own])]
+                    yield arrow_rows(out, [a[own], b[own]])
+
+    return met.join(counts("a"), "a").join(counts("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(each, "a long, b long")
 
 
 def _tree_links(indexed: DataFrame) -> DataFrame:
@@ -116,10 +158,40 @@ def _tree_links(indexed: DataFrame) -> DataFrame:
     return links
 
 
+def _partners(root: np.ndarray, n: np.ndarray, fp: np.ndarray):
+    """(k, partners of k) so that each pair of a list in two components, whose sizes and fingerprints allow the similarity, is given once at least."""
+    _, place, size = np.unique(root, return_inverse=True, return_counts=True)
+    largest = int(size.argmax())
+    for k in np.nonzero(place != largest)[0].tolist():
+        other = (place == largest) | (place > place[k])
+        other &= (place != place[k]) & (5 * np.minimum(n, n[k]) >= 4 * np.maximum(n, n[k]))
+        at = np.nonzero(other)[0]
+        at = at[np.bitwise_count(fp[at] ^ fp[k]) <= BITS]
+        if len(at):
+            yield k, at
+
+
+def _apart(lists: DataFrame) -> DataFrame:
+    """lists(h, members: key, root, n, fp) -> (h, key, root, n, fp) of the texts that have a partner in their list."""
+    out = pa.schema([(c, pa.int64()) for c in ("h", "key", "root", "n", "fp")])
+
+    def each(batches):
+        for batch in batches:
+            for h, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                key, root, n, fp = (np.asarray(members.values.field(c)) for c in range(4))
+                met = np.zeros(len(key), dtype=bool)
+                for k, at in _partners(root, n, fp.view(np.uint64)):
+                    met[k] = met[at] = True
+                if met.any():
+                    yield arrow_rows(out, [np.full(int(met.sum()), h), key[met], root[met], n[met], fp[met]])
+
+    return lists.select("h", "members").mapInArrow(each, "h long, key long, root long, n long, fp long")
+
+
 def _across(lists: DataFrame) -> DataFrame:
     """lists(members: key, root, n, fp, sketch) -> (a, b): a spanning forest, as stars, of a list's pairs in two components whose sizes, fingerprints and bucket counts allow the similarity.
 
-    Two texts share no more shingles than the sum of the lesser counts of each bucket. a and b need not be such a pair themselves.
+    a and b need not be such a pair themselves.
     """
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -128,20 +200,20 @@ def _across(lists: DataFrame) -> DataFrame:
             for members in batch.column(0):
                 own = members.values
                 key, root, n, fp = (np.asarray(own.field(c)) for c in range(4))
-                counts = np.frombuffer(b"".join(own.field(4).to_pylist()), "<u2").reshape(-1, BUCKETS)
                 order = np.argsort(key)  # stars of lists with the same least text are the same rows
-                key, root, n, fp, counts = key[order], root[order], n[order], fp[order].view(np.uint64), counts[order]
-                full = counts.max(axis=1, initial=0) == 65_535
-                found, place, size = np.unique(root, return_inverse=True, return_counts=True)
-                largest = int(size.argmax())
+                key, root, n, fp = key[order], root[order], n[order], fp[order].view(np.uint64)
+                sketches = own.field(4).take(pa.array(order)).to_pylist()
+                width, row, counts = np.array([len(x) for x in sketches]), np.zeros(len(key), dtype=np.int64), {}
+                for wide in np.unique(width).tolist():
+                    at = np.flatnonzero(width == wide)
+                    row[at], counts[wide] = np.arange(len(at)), _counts([sketches[i] for i in at])
                 label, held, pairs = np.arange(len(key)), [], 0
-                for k in np.nonzero(place != largest)[0].tolist():
-                    other = (place == largest) | (place > place[k])
-                    other &= (place != place[k]) & (5 * np.minimum(n, n[k]) >= 4 * np.maximum(n, n[k]))
-                    at = np.nonzero(other)[0]
-                    at = at[np.bitwise_count(fp[at] ^ fp[k]) <= BITS]
-                    shared = np.minimum(counts[at], counts[k]).sum(axis=1, dtype=np.int64)
-                    at = at[(9 * shared >= 4 * (n[at] + n[k])) | full[at] | full[k]]
+                for k, near in _partners(root, n, fp):
+                    mine, at = counts[int(width[k])][row[k]][None], []
+                    for wide in np.unique(width[near]).tolist():
+                        same, step = near[width[near] == wide], max(1, AT_ONCE // wide)
+                        at += [part[_may_hold(counts[wide][row[part]], mine, n[part], n[k])] for part in (same[i : i + step] for i in range(0, len(same), step))]
+                    at = np.concatenate([np.empty(0, np.int64), *at])
                     held.append((np.full(len(at), k), at))
                     pairs += len(at)
                     if pairs > len(key):  # joining costs as much as the texts: never for fewer pairs
@@ -278,18 +350,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     discard(shared, posted)
     release(spark)
     keys = lists.select(F.explode("members").alias("key")).distinct()
-    wanted = materialize(indexed.join(keys, "key").groupBy("key").agg(F.first("n").alias("n"), F.first("fp").alias("fp")), "nearwanted")
+    wanted = materialize(indexed.join(keys, "key").groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "fp", "sketch")]), "nearwanted")
+    whole, indexed = indexed, materialize(indexed.select("doc_id", "text_hash", "key", "fp"), "nearrows")
+    discard(whole)
+    release(spark)
     order = lists.selectExpr("transform(array_sort(transform(members, k -> struct(xxhash64(k, h) as o, k as k))), x -> x.k) as m")
     chain = order.select(F.explode(F.expr("transform(sequence(0, size(m) - 2), i -> struct(least(m[i], m[i + 1]) as a, greatest(m[i], m[i + 1]) as b))")).alias("p")).select("p.*").distinct()
     trees = _tree_links(indexed)
     edges = _edges(_likely(chain.unionByName(trees).distinct(), wanted), rows)
     roots = materialize(components(edges).toDF("key", "root"), "nearroots")
     known = wanted.join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "n", "fp")
-    labelled = materialize(lists.select("h", F.explode("members").alias("key")).join(known, "key"), "nearlabels")
-    apart = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-    apart = materialize(labelled.join(apart, "h"), "nearapart")
-    discard(lists, trees, labelled)
-    sketches = indexed.select("key", "sketch").join(apart.select("key").distinct(), "key").groupBy("key").agg(F.min("sketch").alias("sketch"))
+    labelled = lists.select("h", F.explode("members").alias("key")).join(known, "key")
+    apart = materialize(_apart(labelled.groupBy("h").agg(F.collect_list(F.struct("key", "root", "n", "fp")).alias("members"))), "nearapart")
+    discard(lists, trees)
+    release(spark)
+    sketches = wanted.select("key", "sketch")
     members = apart.join(sketches, "key").groupBy("h").agg(F.collect_list(F.struct("key", "root", "n", "fp", "sketch")).alias("members"))
     forest = materialize(_across(members.select("members")), "nearforest")
     more = _met(forest, known, rows)

@@ -208,3 +208,24 @@ def test_stars_of_near_copies(spark, monkeypatch, group):
         df = spark.createDataFrame([(d, t, None, None, len(t)) for d, t in rows], DOC)
         kept = corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()
         assert sorted(r.doc_id for r in kept) == sorted(min(g) for g in near_groups(rows))
+
+
+def test_long_unlike_texts_are_no_candidates(spark):
+    rng = np.random.default_rng(4)
+    shared = np.unique(rng.integers(-(1 << 62), 1 << 62, 2000))
+
+    def member(key, own):
+        return key, key, len(own), 0, bytearray(nearcopies._sketch(own))  # one fingerprint: counts alone decide
+
+    grown = lambda n: np.unique(np.concatenate([shared[: n // 4], rng.integers(-(1 << 62), 1 << 62, n - n // 4)]))
+    unlike = [member(k, grown(8000)) for k in range(20)]  # 256 buckets would have 31 shingles each
+    alike = [member(100, shared[:1000]), member(101, shared[:1100]), member(102, shared[:1024]), member(103, shared[:1025])]  # with 256 and 512 buckets
+    fields = "key: bigint, root: bigint, n: bigint, fp: bigint, sketch: binary"
+    lists = spark.createDataFrame([(unlike,), (alike,)], f"members array<struct<{fields}>>")
+    assert sorted((r.a, r.b) for r in nearcopies._across(lists).collect()) == [(100, 101), (100, 102), (100, 103)]
+
+
+def test_texts_without_a_partner_leave_their_list(spark):
+    rows = [(7, [(1, 1, 100, 0), (2, 2, 90, 7), (3, 3, 100, -1), (4, 4, 60, 0)]), (8, [(1, 1, 100, 0), (5, 1, 100, 0)])]
+    lists = spark.createDataFrame(rows, "h long, members array<struct<key: bigint, root: bigint, n: bigint, fp: bigint>>")
+    assert sorted((r.h, r.key) for r in nearcopies._apart(lists).collect()) == [(7, 1), (7, 2)]
