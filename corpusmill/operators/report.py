@@ -35,9 +35,17 @@ def missing_uids(uids: DataFrame, *scores: DataFrame) -> DataFrame:
 
 
 def mcnemar(b: int, c: int) -> float:
-    """Exact two-sided test of discordant pairs."""
-    n = b + c
-    return 1.0 if n == 0 else min(1.0, 2 * sum(math.comb(n, i) for i in range(min(b, c) + 1)) / 2**n)
+    """Exact two-sided test of discordant pairs, in integers: in doubles the binomials overflow from n = 1,030 on."""
+    n, k = b + c, min(b, c)
+    if n == 0:
+        return 1.0
+    total = term = math.comb(n, k)
+    for i in range(k, 0, -1):  # downwards, each from the one before; what is left then is beyond a double's last bit
+        term = term * i // (n - i + 1)
+        total += term
+        if term.bit_length() < total.bit_length() - 100:
+            break
+    return min(1.0, 2 * total / 2**n)
 
 
 @vectorised("double")

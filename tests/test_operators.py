@@ -1,4 +1,6 @@
+import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,6 +154,13 @@ def test_mcnemar(b, c, p):
     assert report.mcnemar(b, c) == pytest.approx(p)
 
 
+def test_mcnemar_of_many_pairs():
+    began = time.perf_counter()
+    assert report.mcnemar(15_360, 14_220) == pytest.approx(3.511701402840725e-11, rel=1e-14)  # doubles overflow; the sum of all binomials takes a minute and a half
+    assert report.mcnemar(256, 237) == min(1.0, 2 * sum(math.comb(493, i) for i in range(238)) / 2**493) and report.mcnemar(15_000, 15_000) == 1
+    assert time.perf_counter() - began < 20
+
+
 def test_paired_report(spark):
     uids = spark.createDataFrame([(f"u{i}", "s") for i in range(6)], "uid string, slice string")
     base = spark.createDataFrame([(f"u{i}", int(i < 2)) for i in range(6)], "uid string, n_correct int")
