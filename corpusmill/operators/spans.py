@@ -28,6 +28,24 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, lo: str, hi: st
     return points.withColumn("_cell", F.floor(F.col(point) / width)).join(cells, "_cell").where(F.col(point).between(F.col(lo), F.col(hi))).drop("_cell")
 
 
+def ranges_that_hold(points: DataFrame, ranges: DataFrame, point: str, lo: str, hi: str) -> DataFrame:
+    """ranges that hold a point, ends included, each once; places are whole numbers from 0 to 2^60.
+
+    A range is cut into blocks of 2^k places that begin at a multiple of 2^k, two of each size at most; a point lies in one block of each
+    size that there is. They meet by an equi-join, and blocks that have a point are told apart first: no pairs are made,
+    however many ranges and points share a place and however wide the ranges are.
+    """
+    sizes = f"sequence(0, cast(log2({hi} - {lo} + 1) as int) + 1)"  # one more, as the logarithm is rounded
+    first, last = f"shiftright({lo} + shiftleft(1L, k) - 1, k)", f"shiftright({hi} + 1, k)"
+    odd = f"{first} < {last} and {first} & 1 = 1", f"{first} < {last} and {last} & 1 = 1"
+    block = lambda when, at: f"if({when}, struct(k as _k, {at} as _at), null)"
+    blocks = f"filter(flatten(transform({sizes}, k -> array({block(odd[0], first)}, {block(odd[1], last + ' - 1')}))), b -> b is not null)"
+    cut = ranges.where(f"{lo} <= {hi}").withColumns({lo: F.col(lo).cast("long"), hi: F.col(hi).cast("long")}).withColumn("_b", F.explode(F.expr(blocks))).select(*ranges.columns, "_b._k", "_b._at")
+    held = points.select(F.col(point).cast("long").alias("_p")).distinct().crossJoin(F.broadcast(cut.select("_k").distinct()))  # 61 sizes at most
+    held = held.select("_k", F.expr("shiftright(_p, _k)").alias("_at")).distinct()
+    return cut.join(held.hint("merge"), ["_k", "_at"], "left_semi").select(*ranges.columns).distinct()
+
+
 def as_of_forward(left: DataFrame, right: DataFrame, keys: list[str], at: str, before: str) -> DataFrame:
     """left with the nearest right row of its key at or after `at`, null if none; right's place is `before`.
 
@@ -46,7 +64,7 @@ def select_chunks(manifest: DataFrame, year: int, month: int | None = None) -> D
     return manifest.where(F.startswith("yymm", F.lit(yy))) if month is None else manifest.where(F.col("yymm") == f"{yy}{month:02d}")
 
 
-def chunks_for_ids(manifest: DataFrame, wanted: DataFrame, width: int = 1000) -> DataFrame:
+def chunks_for_ids(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
     """Manifest rows, in the order of their ordinal where they have one, whose range holds a wanted new-style identifier.
 
     The key of a month and number is one integer, so a range that straddles months is a plain range.
@@ -55,7 +73,7 @@ def chunks_for_ids(manifest: DataFrame, wanted: DataFrame, width: int = 1000) ->
     ok = is_new_style(F.col("first_item")) & is_new_style(F.col("last_item"))
     ranges = manifest.where(ok).withColumn("_lo", code(F.col("first_item"))).withColumn("_hi", code(F.col("last_item"))).where("_hi >= _lo")
     points = wanted.where(is_new_style(F.col("arxiv_id"))).select(code(F.col("arxiv_id")).alias("_id")).distinct()
-    hit = range_join(points, ranges.select("filename", "_lo", "_hi"), "_id", "_lo", "_hi", width * 1000).select("filename").distinct()
+    hit = ranges_that_hold(points, ranges.select("filename", "_lo", "_hi"), "_id", "_lo", "_hi").select("filename").distinct()
     kept = manifest.join(hit, "filename", "left_semi")
     return kept.orderBy("ordinal") if "ordinal" in manifest.columns else kept
 

@@ -221,3 +221,19 @@ def test_acquisition(spark, tmp_path):
     scored = spark.createDataFrame([("u", 7, "solved", "s"), ("w", 6, "solved", "s"), ("x", 7, "solved", "s"), ("x", 7, "solved", "s")], "uid string, n_correct int, label string, statement string")
     good, bad = acquire.near_solved(scored, spark.createDataFrame([("u",), ("w",), ("x",), ("y",)], "uid string"))
     assert rows(good, "uid") == [("u",)] and rows(bad, "uid", "problem") == [("w", "tally"), ("x", "ambiguous"), ("y", "missing")]
+
+
+def test_ranges_that_hold_points(spark):
+    rng = random.Random(6)
+    ranges = [(k, lo := rng.randrange(0, 5000), lo + rng.choice((-1, 0, 0, 1, 2, 3, 7, 8, 63, 64, 300))) for k in range(400)] + [(400 + k, 5000, 4999 + (1 << k)) for k in range(40)] + [(500, 0, 1 << 33), (501, 6000, 1 << 33), (502, 6001, 6000 + (1 << 29))]
+    points = [rng.randrange(0, 5000) for _ in range(300)] + [6000, 6000]
+    r, p = spark.createDataFrame(ranges, "k int, lo long, hi long"), spark.createDataFrame([(x,) for x in points], "p long")
+    assert [x for (x,) in rows(spans.ranges_that_hold(p, r, "p", "lo", "hi").orderBy("k"), "k")] == sorted((k for k, lo, hi in ranges if any(lo <= x <= hi for x in points)), key=str)
+
+
+def test_chunks_of_one_month_make_no_pairs(spark):
+    code = F.concat(F.lit("2301."), F.lpad(F.col("id").cast("string"), 5, "0"))
+    m = spark.range(0, 40_000, 2).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("filename"), code.alias("first_item"), code.alias("last_item"))
+    found = spans.chunks_for_ids(m, spark.range(1, 40_000, 3).select(code.alias("arxiv_id")))
+    assert "_hi" not in "".join(x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x)  # places meet by equality alone
+    assert sorted(int(r.filename[1:]) for r in found.collect()) == list(range(4, 40_000, 6))
